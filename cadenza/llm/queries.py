@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from cadenza.llm.langid import op9_language_id
 from cadenza.llm.mixing import op3_mixing
+from cadenza.llm.ngram_join import op2_ngram_jaccard
 from cadenza.llm.pii import op1_pii
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op9_language_id": op9_language_id,
 }
