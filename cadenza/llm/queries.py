@@ -6,11 +6,13 @@ from cadenza.llm.langid import op9_language_id
 from cadenza.llm.mixing import op3_mixing
 from cadenza.llm.ngram_join import op2_ngram_jaccard
 from cadenza.llm.pii import op1_pii
+from cadenza.llm.token_files import op4_token_files
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
+    "op4_token_files": op4_token_files,
     "op9_language_id": op9_language_id,
 }
 
