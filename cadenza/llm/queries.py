@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from cadenza.llm.chat import OP5_SQL, op5_chat_format
 from cadenza.llm.langid import op9_language_id
 from cadenza.llm.mixing import op3_mixing
 from cadenza.llm.ngram_join import op2_ngram_jaccard
 from cadenza.llm.pii import op1_pii
 from cadenza.llm.token_files import op4_token_files
+from cadenza.llm.winnowing import op8_winnowing
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
+    "op5_chat_format": op5_chat_format,
+    "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+}
