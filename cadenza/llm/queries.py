@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from cadenza.llm.chat import OP5_SQL, op5_chat_format
 from cadenza.llm.langid import op9_language_id
+from cadenza.llm.licenses import op10_licenses
 from cadenza.llm.mixing import op3_mixing
+from cadenza.llm.mtree import OP7_SQL, op7_top_k
 from cadenza.llm.ngram_join import op2_ngram_jaccard
 from cadenza.llm.pii import op1_pii
 from cadenza.llm.token_files import op4_token_files
@@ -16,10 +18,13 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
     "op5_chat_format": op5_chat_format,
+    "op7_top_k": op7_top_k,
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
+    "op7_top_k": OP7_SQL,
 }
