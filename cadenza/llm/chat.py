@@ -41,7 +41,7 @@ def parse(records: DataFrame, column: str = "record") -> DataFrame:
     """All columns but the record's, and turns array<struct<role, content>>, and layout: the number in LAYOUTS, null if none fits.
 
     A record that is null, not JSON or of no known layout has null turns. An
-    empty list of messages is a list without turns. Null contents are empty texts.
+    empty list of messages is a list without turns. Null contents are empty texts. Columns named layout or turns give way.
     """
     import json
 
@@ -50,7 +50,7 @@ def parse(records: DataFrame, column: str = "record") -> DataFrame:
     examples = [(k, json.dumps(v)) for k, x in enumerate(LAYOUTS) for v in [x["example"], *_variants(x)]]
     table = F.array(*[F.struct(F.lit(k).alias("layout"), F.lit(v).alias("example")) for k, v in examples])
     known = spark.range(1).select(F.inline(table)).select("layout", fingerprint(F.parse_json("example")).alias("_print"))
-    r = records.withColumn("_v", F.try_parse_json(column)).withColumn("_print", fingerprint(F.col("_v")))
+    r = records.drop("layout", "turns").withColumn("_v", F.try_parse_json(column)).withColumn("_print", fingerprint(F.col("_v")))
     r = r.join(F.broadcast(known), "_print", "left")
 
     turns = F.lit(None).cast(TURNS)

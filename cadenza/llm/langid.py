@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.arrowtext import LOWER, SEPARATOR, slices, text_bytes
@@ -55,8 +55,6 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> DataFra
     )
     # The sample is the rows whose hash is under a threshold of each label, found from counts of 4096 hash ranges.
     ranges = least.groupBy("label", F.shiftright(F.col("h"), 52).alias("r")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     total = F.sum("n").over(Window.partitionBy("label").orderBy("r"))
     bounds = (
         ranges.withColumn("upto", total)
@@ -138,50 +136,68 @@ def infer(like: np.ndarray, log_like: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return pi, mask
 
 
-def predict(docs: DataFrame, model: DataFrame, most_labels: int = 64, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the ``keep`` columns), lang_pred, score, languages for every row.
+def judge(texts: pa.Array, labels: list[str], logs: np.ndarray) -> tuple[list[str], list[float], list[str]]:
+    """Language, score and language set of each text.
 
-    lang_pred is the language with the largest proportion in the chosen set,
+    The language is the one with the largest proportion in the chosen set,
     score that proportion. A text that is null, empty or without a letter,
     and any text under an empty model, is ``und`` with score 0 and no
     languages. Ties go to the first label by code point. A text with letters
     but under three bytes has no trigram: it gets the first label and 0.
     """
+    bucket, row = _grams(*text_bytes(texts))
+    code, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+    of, bucket = code // BUCKETS, code % BUCKETS
+    at = np.searchsorted(of, np.arange(len(texts) + 1))
+    log_like = logs[bucket]
+    if len(log_like):
+        log_like = log_like - log_like.max(1, keepdims=True)
+    like = np.exp(log_like)
+    names, scores, sets = [], [], []
+    for k, text in enumerate(texts.to_pylist()):
+        lo, hi = at[k], at[k + 1]
+        name, score, chosen = "und", 0.0, ""
+        if text is not None and labels and LETTER.search(text):
+            name = labels[0]
+            if lo < hi:
+                pi, mask = infer(like[lo:hi], log_like[lo:hi], n[lo:hi])
+                name, score = labels[int(np.argmax(pi))], float(min(1.0, pi.max()))
+                chosen = ",".join(x for x, m in zip(labels, mask, strict=True) if m)
+        names.append(name)
+        scores.append(score)
+        sets.append(chosen)
+    return names, scores, sets
+
+
+def predict(docs: DataFrame, model: DataFrame, most_labels: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, lang_pred, score, languages for every row; what they mean, ``judge`` says."""
     labels, logs = _tables(model, most_labels)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
     shared = docs.sparkSession.sparkContext.broadcast(logs)
-    text_at = len(keep)
     out_type = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "languages string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in slices(batches, "text"):
-            texts = batch.column(text_at)
-            bucket, row = _grams(*text_bytes(texts))
-            code, n = np.unique(row * BUCKETS + bucket, return_counts=True)
-            of, bucket = code // BUCKETS, code % BUCKETS
-            at = np.searchsorted(of, np.arange(batch.num_rows + 1))
-            logs_here = table[bucket]
-            like = np.exp(logs_here - logs_here.max(1, keepdims=True)) if len(logs_here) else logs_here
-            log_like = logs_here - logs_here.max(1, keepdims=True) if len(logs_here) else logs_here
-            names, scores, sets = [], [], []
-            for k, text in enumerate(texts.to_pylist()):
-                if text is None or not labels or not LETTER.search(text):
-                    names.append("und"), scores.append(0.0), sets.append("")
-                    continue
-                lo, hi = at[k], at[k + 1]
-                if lo == hi:
-                    names.append(labels[0]), scores.append(0.0), sets.append("")
-                    continue
-                pi, mask = infer(like[lo:hi], log_like[lo:hi], n[lo:hi])
-                names.append(labels[int(np.argmax(pi))])
-                scores.append(float(min(1.0, pi.max())))
-                sets.append(",".join(x for x, m in zip(labels, mask, strict=True) if m))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], [*keep, "lang_pred", "score", "languages"])
+            names, scores, sets = judge(batch.column(len(keep)), labels, shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], [*keep, "lang_pred", "score", "languages"])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, out_type)
 
 
+def keep_known(docs: DataFrame, model: DataFrame, least: float = 0.5, most_labels: int = 64) -> DataFrame:
+    """The rows, with all their columns, whose language is known: not ``und``, and with at least this score."""
+    labels, logs = _tables(model, most_labels)
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            names, scores, _ = judge(batch.column(at), labels, shared.value)
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id as text, modulo 4, is 2. A null id is not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -8,6 +8,7 @@ from cadenza.llm.licenses import op10_licenses
 from cadenza.llm.mixing import op3_mixing
 from cadenza.llm.mtree import OP7_SQL, op7_top_k
 from cadenza.llm.ngram_join import op2_ngram_jaccard
+from cadenza.llm.pieces import op6_pieces
 from cadenza.llm.pii import op1_pii
 from cadenza.llm.token_files import op4_token_files
 from cadenza.llm.winnowing import op8_winnowing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
     "op5_chat_format": op5_chat_format,
+    "op6_pieces": op6_pieces,
     "op7_top_k": op7_top_k,
     "op8_winnowing": op8_winnowing,
     "op9_language_id": op9_language_id,
