@@ -15,9 +15,11 @@ Shingles that very many texts share are left out of the sketches. A text that
 then has too few parts left also enters a finer join, whose parts are single
 shingles, so nothing is lost.
 
-Groups of texts with an equal part are not expanded into pairs. Each member
-is first compared with one hub. Then connected components are made, and only
-members of different components are compared with each other.
+Groups of texts with an equal part are not expanded into pairs. Of groups with
+the same members one is kept. Each member is first compared with one hub. Then
+connected components are made, and only members of different components are
+compared with each other, by their dense sketches and inside of the task that
+has the group; what passes is verified.
 """
 
 from __future__ import annotations
@@ -170,24 +172,32 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and component to the pairs (a, b) of a key's nodes in different components whose sizes allow a link."""
+    """Rows sorted by key and component to the pairs (a, b) of a key's nodes in different components that sizes and dense sketches allow to link."""
 
-    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
         begin = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
         for lo, hi in zip(begin, np.append(begin[1:], len(comp)), strict=True):
             if hi == len(comp):
                 break
-            for at in range(lo, hi, 256):
-                own = slice(at, min(hi, at + 256))
+            block = max(1, 200_000 // (len(comp) - hi))
+            for at in range(lo, hi, block):
+                own = slice(at, min(hi, at + block))
                 a, b = n[own][:, None], n[None, hi:]
                 i, j = np.nonzero(4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
-                if len(i):
-                    x, y = node[own][i], node[hi:][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                i, j = i + at, j + hi
+                close = 7 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
+                if close.any():
+                    x, y = node[i[close]], node[j[close]]
+                    yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
     rest: list[np.ndarray] | None = None
+    found: list[np.ndarray] = []
     for batch in batches:
-        now = [np.asarray(c) for c in batch.columns]
+        now = [np.asarray(c) for c in batch.columns[:4]] + [np.asarray(batch.column(4).flatten()).view(np.uint64).reshape(-1, BITS // 64)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         key = now[0]
@@ -196,10 +206,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         for lo, hi in zip(cut[:-2], cut[1:-1], strict=True):
             if now[1][lo] != now[1][hi - 1]:
-                yield from pairs(*(x[lo:hi] for x in now[1:]))
+                found += pairs(*(x[lo:hi] for x in now[1:]))
+                if sum(map(len, found)) > 100_000:
+                    yield out(found)
+                    found = []
         rest = [x[cut[-2] :] for x in now]
     if rest is not None and len(rest[0]) and rest[1][0] != rest[1][-1]:
-        yield from pairs(*rest[1:])
+        found += pairs(*rest[1:])
+    if found:
+        yield out(found)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +282,12 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     nodes = scratch.save(sets.withColumnRenamed("h1", "node"))
     signed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(shared), "key long, node long")
     grouped = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, hub long, node long")
-    groups = scratch.save(grouped)
+    every = scratch.save(grouped)
+    # Near-duplicates share very many keys; of keys with the same members one is enough.
+    sets = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    groups = scratch.save(every.join(one, "key", "left_semi"))
+    scratch.drop(every)
     first = scratch.save(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     held = scratch.save(_linked(first, nodes, docs))
     # A doc_id with several texts ties their sets together.
@@ -277,8 +297,10 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     comps = scratch.save(components(held, scratch))
 
     comp = F.coalesce("component", "rep")
-    labelled = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", comp.alias("comp"), "n")
-    members = groups.select("key", "node").join(labelled, "node").select("key", "comp", "node", "n")
+    labelled = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", comp.alias("comp"), "n", "sketch")
+    members = scratch.save(groups.select("key", "node").join(labelled.select("node", "comp"), "node"))
+    open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = members.join(open_keys, "key", "left_semi").join(labelled.select("node", "n", "sketch"), "node").select("key", "comp", "node", "n", "sketch")
     across = members.repartition("key").sortWithinPartitions("key", "comp", "node").mapInArrow(_across, "a long, b long").distinct()
     across = scratch.save(across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = scratch.save(_linked(across, nodes, docs))
