@@ -9,6 +9,8 @@ WINDOW + K - 1 pieces share a kept hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +74,13 @@ def likeness(a: str, b: str) -> Column:
     return F.when(every == 0, 1.0).otherwise(F.try_divide(both.cast("double"), every.cast("double")))
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d, buckets: int | None = None) -> DataFrame:
     """Every row, with next: struct of ``columns`` of the row that follows in order of doc_id, then text; the first after the last.
 
     The ids are cut into ranges at approximate quantiles (a list of a fixed
     number). A copy of each range's first row joins the range before as its
-    end, so that every range finds its next rows by itself.
+    end, so that every range finds its next rows by itself. ``prepare`` adds
+    columns once the rows are dealt, so that these aren't shuffled.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -92,13 +95,14 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
         ends = ends.withColumn("_b", F.col("_to")).withColumn("_end", F.lit(True)).select(d.columns)
         d = d.union(ends)
     order = Window.partitionBy("_b").orderBy("_end", "_k", "text")
+    d = prepare(d.repartition("_b"))
     return d.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("NOT _end").drop("_k", "_b", "_end")
 
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and their likeness."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(fingerprint(docs, "text", "kept"), ["text", "kept"])
+    d = with_next(docs, ["text", "kept"], lambda x: fingerprint(x, "text", "kept"))
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     d = d.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left(F.col("next.text"), cut)))
