@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from cadenza.plans.scratch import Scratch
 
-PAGE = 128
-FANOUT = 24
+PAGE = 256
+FANOUT = 32
 #: Vectors of a cell and queries of a block, about. With both fixed, a task's memory is too.
 CELL_ROWS, BLOCK_ROWS = 8192, 1024
 SLACK = 1e-6
@@ -42,94 +42,100 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((points - to) ** 2).sum(-1), 0.0))
+    """Between every row of points and every row of to."""
+    square = (points**2).sum(1)[:, None] + (to**2).sum(1)[None] - 2 * points @ to.T
+    return np.sqrt(np.maximum(square, 0.0))
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> list[dict]:
+def build(ids: np.ndarray, x: np.ndarray, size: int = PAGE) -> list[dict]:
     """The pages of one cell's tree over the rows of x; page 0 is the root."""
     norm = float((x * x).sum(1).max()) if len(x) else 0.0
     points = np.column_stack([x, np.sqrt(np.maximum(norm - (x * x).sum(1), 0.0))])
     pages: list[dict] = []
+    rng = np.random.default_rng(0)
 
     def page(rows: np.ndarray, centre: np.ndarray) -> int:
         at = len(pages)
         pages.append({})
-        if len(rows) <= PAGE:
-            pages[at] = {"leaf": True, "ids": ids[rows], "vectors": points[rows], "radii": np.zeros(len(rows)), "parents": distances(points[rows], centre)}
+        if len(rows) <= size:
+            pages[at] = {"leaf": True, "ids": ids[rows], "vectors": points[rows], "radii": np.zeros(len(rows)), "parents": distances(points[rows], centre[None])[:, 0]}
             return at
-        # Routing vectors: the row farthest from those chosen so far, again and again.
-        chosen = [int(rows[np.argmax(distances(points[rows], centre))])]
-        near = distances(points[rows], points[chosen[0]])
-        owner = np.zeros(len(rows), int)
-        while len(chosen) < FANOUT and near.max() > 0:
-            chosen.append(int(rows[np.argmax(near)]))
-            d = distances(points[rows], points[chosen[-1]])
-            closer = d < near
-            near, owner = np.where(closer, d, near), np.where(closer, len(chosen) - 1, owner)
-        if len(chosen) == 1:  # equal rows: pages of them side by side
-            groups = [(chosen[0], rows[k : k + PAGE]) for k in range(0, len(rows), PAGE)]
-        else:
-            groups = [(c, rows[owner == k]) for k, c in enumerate(chosen)]
-        if len(groups) > 4 * FANOUT:
-            groups = [(chosen[0], g) for g in np.array_split(rows, FANOUT)]
-        made = [(page(g, points[c]), c, distances(points[g], points[c]).max()) for c, g in groups if len(g)]
+        chosen = rng.choice(rows, min(FANOUT, -(-len(rows) // size) + 1), replace=False)
+        far = distances(points[rows], points[chosen])
+        owner = far.argmin(1)
+        groups = [(c, rows[owner == k], far[owner == k, k].max(initial=0.0)) for k, c in enumerate(chosen)]
+        groups = [g for g in groups if len(g[1])]
+        if len(groups) == 1:  # equal rows, or nearly: parts of them side by side
+            groups = [(chosen[0], part, groups[0][2]) for part in np.array_split(rows, min(FANOUT, -(-len(rows) // size)))]
+        made = [(page(g, points[c]), c, r) for c, g, r in groups]
         routing = points[[c for _, c, _ in made]]
-        pages[at] = {"leaf": False, "ids": np.array([p for p, _, _ in made]), "vectors": routing, "radii": np.array([r for _, _, r in made]), "parents": distances(routing, centre)}
+        pages[at] = {"leaf": False, "ids": np.array([p for p, _, _ in made]), "vectors": routing, "radii": np.array([r for _, _, r in made]), "parents": distances(routing, centre[None])[:, 0]}
         return at
 
     if len(x):
         page(np.arange(len(x)), points.mean(0))
-        pages[0]["parents"] = np.full(len(pages[0]["ids"]), np.nan)  # the root's centre isn't stored
     return [p | {"page": k, "norm": norm} for k, p in enumerate(pages)]
 
 
-def search(pages: list[dict], q: np.ndarray, own: int, k: int, counts: dict | None = None) -> list[tuple[int, int]]:
-    """(score, id) of the k largest products with q among a tree's rows, ties to smaller ids; the id ``own`` is left out."""
-    if not pages:
-        return []
-    norm, q2 = pages[0]["norm"], float(q @ q)
-    to = np.append(q, 0.0)
-    best: list[tuple[int, int]] = []  # heap of (score, -id)
-    order = itertools.count()
-    waiting = [(0.0, next(order), 0, None)]
+def search(pages: list[dict], q: np.ndarray, own: np.ndarray, k: int, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (rows of q by k) of the largest products with each row of q, ties to smaller ids; a row's own id is left out.
+
+    All queries walk the tree together: a page waits with the queries that may
+    still need it and their distances to its routing vector, and the page with
+    the smallest bound of any of them is next. Places without a result have
+    the score -2**62 and the id 2**62.
+    """
+    score, found = np.full((len(q), k), -(1 << 62)), np.full((len(q), k), 1 << 62)
+    if not pages or not len(q):
+        return score, found
+    norm, q2 = pages[0]["norm"], (q * q).sum(1)
+    to = np.column_stack([q, np.zeros(len(q))])
 
-    def reach() -> float:
-        """The distance beyond which nothing counts."""
-        return np.sqrt(max(0.0, q2 + norm - 2 * best[0][0])) + SLACK if len(best) == k else np.inf
+    def reach(rows: np.ndarray) -> np.ndarray:
+        """For each query the distance beyond which nothing counts."""
+        worst = score[rows, -1]
+        return np.where(worst == -(1 << 62), np.inf, np.sqrt(np.maximum(0.0, q2[rows] + norm - 2.0 * worst)) + SLACK)
 
+    order = itertools.count()
+    waiting = [(0.0, next(order), 0, np.arange(len(q)), None, None)]
     while waiting:
-        bound, _, at, to_parent = heapq.heappop(waiting)
-        most = reach()
-        if bound > most:
-            break
+        _, _, at, rows, low, to_parent = heapq.heappop(waiting)
         p = pages[at]
-        keep = np.ones(len(p["ids"]), bool) if to_parent is None else np.abs(to_parent - p["parents"]) - p["radii"] <= most
-        rows = np.flatnonzero(keep)
+        most = reach(rows)
+        if low is not None:
+            open_ = low <= most
+            rows, most, to_parent = rows[open_], most[open_], to_parent[open_]
+            if not len(rows):
+                continue
+            # Stored distances to the parent, before any new distance.
+            needed = np.abs(to_parent[:, None] - p["parents"][None]) - p["radii"][None] <= most[:, None]
+        else:
+            needed = np.ones((len(rows), len(p["ids"])), bool)
+        entries = needed.any(0)
         if counts is not None:
-            counts["computed"] = counts.get("computed", 0) + len(rows)
-            counts["avoided"] = counts.get("avoided", 0) + len(keep) - len(rows)
-        if not len(rows):
+            counts["computed"] = counts.get("computed", 0) + int(needed.sum())
+            counts["avoided"] = counts.get("avoided", 0) + int((~needed).sum())
+        if not entries.any():
             continue
+        ids, vectors, needed = p["ids"][entries], p["vectors"][entries], needed[:, entries]
         if p["leaf"]:
-            score = np.rint(p["vectors"][rows, :-1] @ q).astype(np.int64)
-            ids = p["ids"][rows]
-            if len(best) == k:
-                fair = score >= best[0][0]
-                score, ids = score[fair], ids[fair]
-            for s, i in zip(score.tolist(), ids.tolist(), strict=True):
-                if i == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+            new = np.rint(q[rows] @ vectors[:, :-1].T).astype(np.int64)
+            new[~needed | (ids[None] == own[rows][:, None])] = -(1 << 62)
+            better = ((new > score[rows, -1:]) | ((new == score[rows, -1:]) & (ids[None] < found[rows, -1:]))).any(1)
+            if better.any():
+                r = rows[better]
+                s = np.concatenate([score[r], new[better]], 1)
+                i = np.concatenate([found[r], np.where(new[better] == -(1 << 62), 1 << 62, ids[None])], 1)
+                best = np.lexsort((i, -s), axis=1)[:, :k]
+                score[r], found[r] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
         else:
-            d = distances(p["vectors"][rows], to)
-            low = np.maximum(0.0, d - p["radii"][rows])
-            for b, child, x in zip(low.tolist(), p["ids"][rows].tolist(), d.tolist(), strict=True):
-                if b <= most:
-                    heapq.heappush(waiting, (b, next(order), child, x))
-    return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+            d = distances(to[rows], vectors)
+            bound = np.where(needed, np.maximum(0.0, d - p["radii"][entries][None]), np.inf)
+            for c, child in enumerate(ids.tolist()):
+                use = bound[:, c] <= most
+                if use.any():
+                    heapq.heappush(waiting, (float(bound[use, c].min()), next(order), child, rows[use], bound[use, c], d[use, c]))
+    return score, found
 
 
 def _matrix(x: pa.Array, dim: int) -> np.ndarray:
@@ -161,16 +167,18 @@ def top_k(pages: DataFrame, queries: DataFrame, k: int, cells: int, blocks: int)
 
     def run(key: tuple, tree: pa.Table, asked: pa.Table) -> pa.Table:
         dim = key[2].as_py()
-        out: list[tuple[int, int, int]] = []
+        out = [np.zeros(0, np.int64)] * 3
         if tree.num_rows and asked.num_rows:
-            stored = []
-            for p in tree.sort_by("page").to_pylist():
-                n = len(p["ids"])
-                stored.append({"leaf": p["leaf"], "norm": p["norm"], "ids": np.array(p["ids"]), "radii": np.array(p["radii"]), "parents": np.array(p["parents"], float), "vectors": np.array(p["vectors"]).reshape(n, -1)})
-            for own, q in zip(asked["vec_id"].to_pylist(), _matrix(asked["x"], dim), strict=True):
-                out += [(own, i, s) for s, i in search(stored, q, own, k)]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(list(c), pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            tree = tree.sort_by("page").combine_chunks()
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in tree["ids"]])])
+            flat = {c: np.asarray(pa.concat_arrays([x.values for x in tree[c]])) for c in ("ids", "vectors", "radii", "parents")}
+            flat["vectors"] = flat["vectors"].reshape(cut[-1], dim + 1)
+            stored = [{"leaf": leaf, "norm": norm} | {c: v[a:b] for c, v in flat.items()} for leaf, norm, a, b in zip(tree["leaf"].to_pylist(), tree["norm"].to_pylist(), cut[:-1], cut[1:], strict=True)]
+            own = np.asarray(asked["vec_id"])
+            score, ids = search(stored, _matrix(asked["x"], dim), own, k)
+            there = ids != 1 << 62
+            out = [np.repeat(own, there.sum(1)), ids[there], score[there]]
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     tree = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.dropDuplicates(["vec_id", "x"]).withColumn("dim", F.size("x")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
