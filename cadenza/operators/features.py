@@ -101,7 +101,7 @@ def spectral_features(df: DataFrame, keys: list[str], order: str, value: str, fs
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for xs in b.xs:
+            for xs in b["xs"]:
                 x = np.asarray(xs, float)
                 stats = _statistics(*spectrum(x, fs)) if len(x) >= 8 else (np.nan,) * 5
                 energy = flux = spread = np.nan

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cadenza.schema import JOINTS, RECORD, VISIBLE
 
 # What labels are written as.
-POSITIVE = ("dancer", "yes", "y", "1", "true")
-NEGATIVE = ("non_dancer", "non-dancer", "nondancer", "no", "n", "0", "false")
+POSITIVE = ("dancer", "dance", "1", "true", "yes")
+NEGATIVE = ("non_dancer", "non-dancer", "nondancer", "bystander", "0", "false", "no")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +57,10 @@ def pose(dets: DataFrame, track: str = "id") -> DataFrame:
 
 
 def label(column: str) -> Column:
-    """1 or 0 for a label's spellings; another one is an error, null stays null."""
-    c = F.lower(F.trim(F.col(column)))
+    """1 or 0 for a label's spellings; anything else, null as well, is an error."""
+    c = F.lower(F.trim(F.coalesce(F.col(column), F.lit(""))))
     wrong = F.raise_error(F.concat(F.lit("unknown label: "), c)).cast("int")
-    return F.when(c.isNull(), None).when(c.isin(*POSITIVE), 1).when(c.isin(*NEGATIVE), 0).otherwise(wrong)
+    return F.when(c.isin(*POSITIVE), 1).when(c.isin(*NEGATIVE), 0).otherwise(wrong)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
