@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,8 +29,10 @@ from cadenza.plans.scratch import Scratch
 
 BLOCK = 1 << 16
 END = 2
-#: Words whose ids a Python worker remembers.
-REMEMBER = 400_000
+#: Words whose ids a Python worker remembers, and the bytes they may have, about.
+REMEMBER, REMEMBER_BYTES = 400_000, 32 << 20
+#: Bytes of text that are encoded at once.
+AT_ONCE = 8 << 20
 #: Words of these letters alone are one unit of the pre-tokenizer and are not changed by the normalizer, once in lower case.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+\Z")
 _MADE: dict[int, tuple] = {}
@@ -56,15 +60,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.symbols = _byte_symbols()
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        low = w.lower() if w.isalpha() else w
-        if PLAIN.match(low):
-            unit = "".join([self.symbols[b] for b in low.encode()])
-            return np.array([t.id for t in self.tokenizer.model.tokenize(unit)], np.uint32)
-        return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+        self.symbols = dict(enumerate(_byte_symbols()))
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words in the order of their numbers; the ids of all of them end to end, and where each one's end. The end of a text is the word 0."""
+        self.known = pa.array([""], pa.string())
+        self.ids, self.ends = array("I", [END]), array("i", [0, 1])
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that are not known yet and numbers them in order."""
+        lower = [w.lower() for w in words]
+        plain = [PLAIN.match(x) is not None for x in lower]
+        odd = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        tokenize, add, end = self.tokenizer.model.tokenize, self.ids.extend, self.ends.append
+        for low, p in zip(lower, plain, strict=True):
+            if p:
+                add([t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols))])
+            else:
+                add(next(odd).ids)
+            end(len(self.ids))
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
@@ -82,28 +98,19 @@ class WordEncoder:
             start, end = np.sort(np.concatenate([start, extra])), np.sort(np.concatenate([end, extra]))
             row = np.searchsorted(offsets, start, "right") - 1
         words = take_strings(data, start, end).dictionary_encode()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        ids = []
-        for w in words.dictionary.to_pylist():
-            got = self.known.get(w)
-            if got is None:
-                got = self.known[w] = self.word(w)
-            ids.append(got)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        at = np.cumsum(size) - size
-        of = np.asarray(words.indices).astype(np.int64)
-        n = np.bincount(row, weights=size[of], minlength=len(texts)).astype(np.int64) + 1 if len(of) else np.ones(len(texts), np.int64)
-        out = np.empty(int(n.sum()), np.uint32)
-        ends = np.cumsum(n) - 1
-        take = np.ones(len(out), bool)
-        take[ends] = False
-        each = size[of]
-        first = np.repeat(at[of] - (np.cumsum(each) - each), each)
-        out[take] = flat[first + np.arange(len(first))]
-        out[ends] = END
-        return out, n
+        if len(self.known) > REMEMBER or self.known.nbytes > REMEMBER_BYTES:
+            self.forget()
+        number = np.asarray(pc.index_in(words.dictionary, value_set=self.known).fill_null(-1)).copy()
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            self.learn(words.dictionary.take(pa.array(new)).to_pylist())
+        # Every text's words and the end after them, as lists of ids.
+        last = np.searchsorted(row, np.arange(len(texts)), "right")
+        said = np.insert(number[np.asarray(words.indices)], last, 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.array(self.ends, np.int32)), pa.array(np.array(self.ids, np.uint32))).take(pa.array(said))
+        ends = np.asarray(lists.offsets).astype(np.int64)[1:][last + np.arange(len(texts))]
+        return np.asarray(lists.values), np.diff(ends, prepend=0)
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -151,7 +158,7 @@ def write(docs: DataFrame, spec: str, path: str, block: int = BLOCK, shards: int
         def out(ids: np.ndarray, d: list, n: list, goes_on: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"shard": shard, "chunk": chunk, "first": first, "n_ids": len(ids), "docs": d, "lengths": n, "goes_on": goes_on, "planes": planes(ids)}], _CHUNK)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE):
             ids, n = encoder.encode(batch.column(1))
             waiting.append(ids)
             doc += batch.column(0).to_pylist()
