@@ -17,16 +17,18 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Stands for a line break in a role, which ends at one.
 LINE = "<|line|>"
 TURNS = "array<struct<role: string, content: string>>"
+#: The JSON reader's own limit on a text would lose longer ones.
+LONG = {"maxStringLen": str((1 << 31) - 1)}
 
-#: Layouts, each as an example record and as the way to its turns: a path to an array of messages with the names of
-#: role and content there, or a list of (role, path) for fields that are one turn each. An empty field is no turn.
+#: Layouts, each as an example record and as the way to its turns: the field with an array of messages and the names of
+#: role and content there, or a list of (role, names) for fields that are one turn each. An empty field is no turn.
 LAYOUTS: list[dict] = [
-    {"example": {"messages": [{"content": "", "role": ""}]}, "messages": ("$.messages", "role", "content")},
-    {"example": {"conversations": [{"from": "", "value": ""}]}, "messages": ("$.conversations", "from", "value")},
-    {"example": {"instruction": "", "output": ""}, "fields": [("user", ["$.instruction"]), ("assistant", ["$.output"])]},
-    {"example": {"input": "", "instruction": "", "output": ""}, "fields": [("user", ["$.instruction", "$.input"]), ("assistant", ["$.output"])]},
-    {"example": {"completion": "", "prompt": ""}, "fields": [("user", ["$.prompt"]), ("assistant", ["$.completion"])]},
-    {"example": {"question": "", "answer": "", "system": ""}, "fields": [("system", ["$.system"]), ("user", ["$.question"]), ("assistant", ["$.answer"])]},
+    {"example": {"messages": [{"content": "", "role": ""}]}, "messages": ("messages", "role", "content")},
+    {"example": {"conversations": [{"from": "", "value": ""}]}, "messages": ("conversations", "from", "value")},
+    {"example": {"instruction": "", "output": ""}, "fields": [("user", ["instruction"]), ("assistant", ["output"])]},
+    {"example": {"input": "", "instruction": "", "output": ""}, "fields": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    {"example": {"completion": "", "prompt": ""}, "fields": [("user", ["prompt"]), ("assistant", ["completion"])]},
+    {"example": {"question": "", "answer": "", "system": ""}, "fields": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])]},
 ]
 #: Names that layouts use for the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -37,6 +39,11 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.schema_of_variant(record))
 
 
+def skeleton(record: Column) -> Column:
+    """The JSON record with its fields' texts empty, so that records with very long texts, which a variant can't hold, have a schema too."""
+    return F.regexp_replace(F.regexp_replace(record, r"(?s)\\.", "?"), r':\s*"[^"]*"', ':""')
+
+
 def parse(records: DataFrame, column: str = "record") -> DataFrame:
     """All columns but the record's, and turns array<struct<role, content>>, and layout: the number in LAYOUTS, null if none fits.
 
@@ -50,13 +57,14 @@ def parse(records: DataFrame, column: str = "record") -> DataFrame:
     examples = [(k, json.dumps(v)) for k, x in enumerate(LAYOUTS) for v in [x["example"], *_variants(x)]]
     table = F.array(*[F.struct(F.lit(k).alias("layout"), F.lit(v).alias("example")) for k, v in examples])
     known = spark.range(1).select(F.inline(table)).select("layout", fingerprint(F.parse_json("example")).alias("_print"))
-    r = records.drop("layout", "turns").withColumn("_v", F.try_parse_json(column)).withColumn("_print", fingerprint(F.col("_v")))
+    r = records.drop("layout", "turns").withColumn("_print", fingerprint(F.try_parse_json(skeleton(F.col(column)))))
     r = r.join(F.broadcast(known), "_print", "left")
 
     turns = F.lit(None).cast(TURNS)
     for k, x in enumerate(LAYOUTS):
-        turns = F.when(F.col("layout") == k, _turns(x)).otherwise(turns)
-    return r.withColumn("turns", turns).drop("_v", "_print", column)
+        turns = F.when(F.col("layout") == k, _turns(x, column)).otherwise(turns)
+    r = r.withColumn("turns", turns).drop("_print", column)
+    return r.withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
 
 
 def _variants(layout: dict) -> list[dict]:
@@ -68,21 +76,22 @@ def _variants(layout: dict) -> list[dict]:
     return [{name: []}, {name: [{**messages[0], content: None}]}]
 
 
-def _turns(layout: dict) -> Column:
+def _turns(layout: dict, record: str) -> Column:
     alias = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     if "messages" in layout:
-        path, role, content = layout["messages"]
-        rows = F.try_variant_get(F.col("_v"), path, f"array<struct<`{role}`: string, `{content}`: string>>")
+        name, role, content = layout["messages"]
         return F.transform(
-            rows,
+            F.from_json(record, f"`{name}` array<struct<`{role}`: string, `{content}`: string>>", LONG)[name],
             lambda m: F.struct(
                 F.coalesce(F.try_element_at(alias, m[role]), m[role], F.lit("")).alias("role"),
                 F.coalesce(m[content], F.lit("")).alias("content"),
             ),
         )
+    names = [n for _, parts in layout["fields"] for n in parts]
+    said = F.from_json(record, ", ".join(f"`{n}` string" for n in names), LONG)
     fields = []
-    for role, paths in layout["fields"]:
-        text = F.concat_ws("\n", *[F.nullif(F.try_variant_get(F.col("_v"), p, "string"), F.lit("")) for p in paths])
+    for role, parts in layout["fields"]:
+        text = F.concat_ws("\n", *[F.nullif(said[n], F.lit("")) for n in parts])
         fields.append(F.struct(F.lit(role).alias("role"), text.alias("content")))
     return F.filter(F.array(*fields), lambda t: t["content"] != "")
 
