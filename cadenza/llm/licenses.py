@@ -97,13 +97,15 @@ class Templates:
         self.words = {name: words(text)[0] for name, text in notices.items()}
         uses = Counter(w for ws in self.words.values() for w in set(ws))
         self.key = {name: min(ws, key=lambda w: (uses[w], -len(w), w)) for name, ws in self.words.items()}
+        self.place = {name: ws.index(self.key[name]) for name, ws in self.words.items()}
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(license, start, end, coverage) of the notices in a text, by place; overlapping ones give way to the best covered.
+        """(license, start, end, coverage) of the notices in a text, by place; overlapping ones give way to the one with the most words, then to the best covered.
 
         A notice is looked for around each occurrence of its key, in a
-        stretch that ends where the next occurrence's begins, so that
-        repeated notices don't make its words ambiguous.
+        stretch a quarter longer on either side than the notice, which ends
+        before the next occurrence, so that repeated notices don't make its
+        words ambiguous.
         """
         if not HINT.search(text):
             return []
@@ -117,17 +119,19 @@ class Templates:
         for name, notice in self.words.items():
             places = at.get(self.key[name], [])
             for n, k in enumerate(places):
-                lo = max(0, k - len(notice), (places[n - 1] + k) // 2 + 1 if n else 0)
-                hi = min(len(said), k + len(notice) + 1, (places[n + 1] + k) // 2 + 1 if n + 1 < len(places) else len(said))
+                more = len(notice) // 4 + 1
+                lo = max(0, k - self.place[name] - more, places[n - 1] + 1 if n else 0)
+                hi = min(k + len(notice) - self.place[name] + more, places[n + 1] if n + 1 < len(places) else len(said))
                 pairs = align(notice, said[lo:hi])
                 coverage = len(pairs) / len(notice)
                 if coverage >= COVERAGE:
-                    found.append((name, spans[lo + pairs[0][1]][0], spans[lo + pairs[-1][1]][1], round(coverage, 6)))
+                    found.append((-len(pairs), (name, spans[lo + pairs[0][1]][0], spans[lo + pairs[-1][1]][1], round(coverage, 6))))
         kept: list[tuple[str, int, int, float]] = []
-        for x in sorted(found, key=lambda x: (-x[3], -(x[2] - x[1]), x[1], x[0])):
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[1])
+        for _, x in sorted(found, key=lambda y: (y[0], -y[1][3], y[1][1], y[1][0])):
+            at = bisect_left(kept, x[1], key=lambda y: y[1])
+            if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or x[2] <= kept[at][1]):
+                kept.insert(at, x)
+        return kept
 
 
 FOUND = "array<struct<license: string, start: bigint, end: bigint, coverage: double>>"

@@ -203,10 +203,12 @@ class Codec:
         data = spaced
         if not len(data):
             return np.zeros(0, np.uint16), np.zeros(rows, np.int64)
-        # No piece has a space after another character, or a line break: a text is cut there.
+        # No piece has a space, or the character that stands for one, after another character, or a line break: a text is cut there.
         space, line = data == 32, data == 10
+        spacing = space.copy()
+        spacing[2:] |= (data[2:] == 0x81) & (data[1:-1] == 0x96) & (data[:-2] == 0xE2)
         cut = np.ones(len(data), bool)
-        cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        cut[1:] = (space[1:] & ~spacing[:-1]) | line[1:] | line[:-1]
         cut[offsets[:-1][full]] = True
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(data))
@@ -282,7 +284,7 @@ def decode(encoded: DataFrame, model: dict) -> DataFrame:
                 n = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
                 text = codec.decode(np.asarray(column.flatten()).astype(np.int64), n)
                 if column.null_count:
-                    text = pa.array([None if x is None else t for x, t in zip(column.is_valid().to_pylist(), text.to_pylist(), strict=True)], pa.string())
+                    text = pa.array([t if x else None for x, t in zip(column.is_valid().to_pylist(), text.to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], text], [*kept, "text"])
 
     return encoded.select(*[F.col(f"`{c}`") for c in kept], "ids").mapInArrow(run, ", ".join([*kinds, "text string"]))

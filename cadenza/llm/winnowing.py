@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, columns: list[str], prepare: Callable[[DataFrame]
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
-    cuts = sorted({int(x) for x in d.select("_k").approxQuantile("_k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)})
+    cuts = sorted({int(x) for x in d.select("_k").approxQuantile("_k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
     at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("_k"))) if cuts else F.lit(0)
     d = d.withColumn("_b", at).withColumn("_end", F.lit(False))
     firsts = sorted(tuple(r) for r in d.groupBy("_b").agg(F.min("_k").alias("k")).collect())  # a row a range
