@@ -19,16 +19,19 @@ Groups of texts with an equal part are not expanded into pairs. Of groups with
 the same members one is kept. Each member is first compared with one hub. Then
 connected components are made, and only members of different components are
 compared with each other, by their dense sketches and inside of the task that
-has the group; what passes is verified.
+has the group; what passes is verified. That is done twice: first a task gives
+no more than the pairs that would tie its group's components together, a
+number below the group's size, then all that still lie in different ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.arrowtext import mix, slices, text_bytes
@@ -36,8 +39,8 @@ from cadenza.llm.graph import components
 from cadenza.llm.shingles import row_sums, shingle_sets
 from cadenza.plans.scratch import Scratch
 
-#: Bits of the dense sketch.
-BITS = 1024
+#: The dense sketch has a power of two of bits, about three for a shingle, at least and at most so many.
+LEAST_BITS, MOST_BITS = 64, 8192
 #: Shared shingles are noted by so many leading bits of their hash: a table of fixed size, 512 KiB.
 SHARED_BITS = 22
 #: A shingle is shared if so many texts have it, or this fraction of them if that is more.
@@ -52,6 +55,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the dense sketch of sets of n shingles."""
+    return np.clip(1 << (np.frexp(np.maximum(n, 1).astype(float))[1].astype(np.int64) + 1), LEAST_BITS, MOST_BITS)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its set's size, two hashes and dense sketch; of shingles met more than once in a slice, their counts by leading bits."""
     names = ["kind", "id", "n", "h1", "h2", "sketch"]
@@ -61,9 +69,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.diff(at), batch.num_rows
         h1, h2 = row_sums(mix(h ^ _A), at), row_sums(mix(h ^ _B), at)
         row = np.repeat(np.arange(rows), n)
-        bit = np.bincount(row * BITS + (h >> np.uint64(54)).astype(np.int64), minlength=rows * BITS).astype(np.uint8) & 1
-        sketch = np.packbits(bit).view(np.int64)
-        sketch = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(sketch)).cast(sketch_type)
+        bits = _bits(n)
+        begin = np.cumsum(bits) - bits
+        bit = np.bincount(begin[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())).astype(np.uint8) & 1
+        sketch = np.packbits(bit, bitorder="little").view(np.int64)
+        sketch = pa.ListArray.from_arrays(pa.array(np.append(begin, bits.sum()).astype(np.int32) // 64), pa.array(sketch)).cast(sketch_type)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int8)), batch.column(0), pa.array(n), pa.array(_signed(h1)), pa.array(_signed(h2)), sketch], names)
         once = np.zeros(rows, bool)
         once[np.unique(h1, return_index=True)[1]] = True
@@ -171,11 +181,33 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, hub, last_node = last_key_here, hubs[-1], last_node_here
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and component to the pairs (a, b) of a key's nodes in different components that sizes and dense sketches allow to link."""
+def _across(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and component to the pairs (a, b) of a key's nodes in different components that sizes and dense sketches allow to link.
+
+    forest: of these only as many as tie the components together.
+    """
 
-    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
-        begin = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
+    def close(sketch: np.ndarray, at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) have sketches close enough. Of sketches of different sizes the larger one's halves are XORed."""
+        ok, words = np.zeros(len(i), bool), np.diff(at)
+        w = np.minimum(words[i], words[j])
+        for size in np.unique(w).tolist():
+            own = np.flatnonzero(w == size)
+            for lo in range(0, len(own), max(1, (1 << 20) // size)):
+                part = own[lo : lo + max(1, (1 << 20) // size)]
+                a, b = i[part], j[part]
+                span = np.arange(size)
+                x = sketch[at[a][:, None] + span] ^ sketch[at[b][:, None] + span]
+                for side in (a, b):
+                    wide = words[side] > size
+                    x[wide] ^= sketch[at[side[wide]][:, None] + size + span]
+                ok[part] = 7 * np.bitwise_count(x).sum(1, dtype=np.int64) <= n[a] + n[b]
+        return ok
+
+    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray, at_words: np.ndarray) -> Iterator[np.ndarray]:
+        new = np.append(True, comp[1:] != comp[:-1])
+        begin = np.flatnonzero(new)
+        tree = np.cumsum(new) - 1
         for lo, hi in zip(begin, np.append(begin[1:], len(comp)), strict=True):
             if hi == len(comp):
                 break
@@ -185,9 +217,17 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = n[own][:, None], n[None, hi:]
                 i, j = np.nonzero(4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
                 i, j = i + at, j + hi
-                close = 7 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j]
-                if close.any():
-                    x, y = node[i[close]], node[j[close]]
+                if forest:
+                    apart = tree[j] != tree[lo]
+                    i, j = i[apart], j[apart]
+                ok = close(sketch, at_words, n, i, j)
+                if ok.any():
+                    i, j = i[ok], j[ok]
+                    if forest:
+                        joined, one = np.unique(tree[j], return_index=True)
+                        i, j = i[one], j[one]
+                        tree[np.isin(tree, joined)] = tree[lo]
+                    x, y = node[i], node[j]
                     yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -197,22 +237,23 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: list[np.ndarray] | None = None
     found: list[np.ndarray] = []
     for batch in batches:
-        now = [np.asarray(c) for c in batch.columns[:4]] + [np.asarray(batch.column(4).flatten()).view(np.uint64).reshape(-1, BITS // 64)]
+        now = [np.asarray(c) for c in batch.columns[:4]] + [np.asarray(batch.column(4).flatten()).view(np.uint64)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        words = np.append(0, np.cumsum(_bits(now[3]) // 64))
         key = now[0]
         if not len(key):
             continue
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         for lo, hi in zip(cut[:-2], cut[1:-1], strict=True):
             if now[1][lo] != now[1][hi - 1]:
-                found += pairs(*(x[lo:hi] for x in now[1:]))
+                found += pairs(*(x[lo:hi] for x in now[1:4]), now[4], words[lo : hi + 1])
                 if sum(map(len, found)) > 100_000:
                     yield out(found)
                     found = []
-        rest = [x[cut[-2] :] for x in now]
+        rest = [x[cut[-2] :] for x in now[:4]] + [now[4][words[cut[-2]] :]]
     if rest is not None and len(rest[0]) and rest[1][0] != rest[1][-1]:
-        found += pairs(*rest[1:])
+        found += pairs(*rest[1:], np.append(0, np.cumsum(_bits(rest[3]) // 64)))
     if found:
         yield out(found)
 
@@ -235,7 +276,14 @@ def _linked(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     x = edges.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     x = x.join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     x = x.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    words = F.least(F.size("sa"), F.size("sb"))
+
+    def cut(s: str) -> Column:
+        """The sketch, or its halves XORed if the other one is half as long."""
+        halves = F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(s) > words, halves).otherwise(F.col(s))
+
+    apart = F.aggregate(F.zip_with(cut("sa"), cut("sb"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     x = x.where(7 * apart <= F.col("na") + F.col("nb")).select("ra", "rb")
     needed = x.select(F.col("ra").alias("id")).union(x.select(F.col("rb").alias("id")))
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS).alias("slot")
@@ -297,17 +345,20 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     comps = scratch.save(components(held, scratch))
 
     comp = F.coalesce("component", "rep")
-    labelled = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", comp.alias("comp"), "n", "sketch")
-    members = scratch.save(groups.select("key", "node").join(labelled.select("node", "comp"), "node"))
-    open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(open_keys, "key", "left_semi").join(labelled.select("node", "n", "sketch"), "node").select("key", "comp", "node", "n", "sketch")
-    across = members.repartition("key").sortWithinPartitions("key", "comp", "node").mapInArrow(_across, "a long, b long").distinct()
-    across = scratch.save(across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = scratch.save(_linked(across, nodes, docs))
-    if not more.isEmpty():
-        comps = scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch))
-    for x in (groups, first, across):
-        scratch.drop(x)
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for forest in (True, False):
+        labelled = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", comp.alias("comp"), "n", "sketch")
+        members = scratch.save(groups.select("key", "node").join(labelled.select("node", "comp"), "node"))
+        open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        shown = members.join(open_keys, "key", "left_semi").join(labelled.select("node", "n", "sketch"), "node").select("key", "comp", "node", "n", "sketch")
+        pairs = shown.repartition("key").sortWithinPartitions("key", "comp", "node").mapInArrow(partial(_across, forest=forest), "a long, b long").distinct()
+        across = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
+        scratch.drop(members)
+        more = scratch.save(_linked(across, nodes, docs))
+        if not more.isEmpty():
+            comps = scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch))
+        tried = tried.union(across)
+    scratch.drop(groups)
 
     reps = nodes.select(F.col("node").alias("h1"), "h2", "rep")
     out = info.select(F.col("id").alias("doc_id"), "n", "h1", "h2").join(reps, ["h1", "h2"], "left")
