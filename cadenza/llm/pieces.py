@@ -15,19 +15,24 @@ last piece at its start are such neighbours.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.arrowtext import slices, text_bytes
 
 SPACE = "▁"
-#: Segments and neighbours that a Python worker remembers.
-REMEMBER = 400_000
+#: Segments that a Python worker remembers, and the bytes they may have, about; of pairs of neighbours four times as many.
+REMEMBER, REMEMBER_BYTES = 400_000, 32 << 20
+#: Characters of segments in one suffix array, about; a longer segment has one of its own.
+AT_ONCE = 1 << 18
 _MADE: dict[int, Codec] = {}
 
 
@@ -69,8 +74,9 @@ class Codec:
         self.piece_len = np.array([len(pieces[i]) for i in ids])[order]
         self.piece_low = np.array(rows, f"S{width}")[order]
         self.piece_high = np.array([r + b"\xff" * (width - len(r)) for r in rows], f"S{width}")[order]
-        self.known: dict[str, np.ndarray] = {}
-        self.fits: dict[int, bool] = {}
+        self.forget()
+        # Pairs of neighbours that have been tried, sorted, and whether they fit.
+        self.tried, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.whole = {i: self.merge(pieces[i]) == [i] for i in ids}
         out = [SPACE.join(p.split(SPACE)).replace(SPACE, " ").encode() for p in pieces]
         for b, i in self.byte.items():
@@ -95,17 +101,23 @@ class Codec:
     def neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each two pieces stay as they are when their concatenation is merged; left -1 fits all whole pieces."""
         key, inverse = np.unique(left.astype(np.int64) * (1 << 20) + right, return_inverse=True)
-        ok = np.zeros(len(key), bool)
-        for n, x in enumerate(key.tolist()):
-            got = self.fits.get(x)
-            if got is None:
+        if len(self.tried) > 4 * REMEMBER:
+            self.tried, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        at = np.searchsorted(self.tried, key)
+        new = np.flatnonzero(~np.isin(key, self.tried, assume_unique=True) if len(self.tried) else np.ones(len(key), bool))
+        if len(new):
+            ok = []
+            for x in key[new].tolist():
                 a, b = divmod(x, 1 << 20)
-                got = self.whole[b] if a < 0 else self.whole[b] and self.merge(self.text[a] + self.text[b]) == [a, b]
-                if len(self.fits) > 4 * REMEMBER:
-                    self.fits.clear()
-                self.fits[x] = got
-            ok[n] = got
-        return ok[inverse]
+                ok.append(self.whole[b] if a < 0 else self.whole[b] and self.merge(self.text[a] + self.text[b]) == [a, b])
+            self.tried, self.fits = np.insert(self.tried, at[new], key[new]), np.insert(self.fits, at[new], ok)
+            at = np.searchsorted(self.tried, key)
+        return self.fits[at[inverse]]
+
+    def forget(self) -> None:
+        """Known segments in the order of their numbers; the ids of all of them end to end, and where each one's end."""
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = array("H"), array("i", [0])
 
     def segments(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each segment."""
@@ -211,24 +223,26 @@ class Codec:
         cut[1:] = (space[1:] & ~spacing[:-1]) | line[1:] | line[:-1]
         cut[offsets[:-1][full]] = True
         begin = np.flatnonzero(cut)
-        end = np.append(begin[1:], len(data))
         mark = np.searchsorted(offsets, begin, "right") - 1
         o = np.append(begin, len(data)).astype(np.int32)
         words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(o), pa.py_buffer(data)).dictionary_encode()
-        del end
-        names = words.dictionary.to_pylist()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = [w for w in names if w not in self.known]
-        if new:
-            self.known.update(zip(new, self.segments([w.replace(" ", SPACE) for w in new]), strict=True))
-        ids = [self.known[w] for w in names]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, at = np.concatenate(ids), np.cumsum(size) - size
-        of = np.asarray(words.indices).astype(np.int64)
-        each = size[of]
-        out = flat[np.repeat(at[of] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-        return out, np.bincount(mark, weights=each, minlength=rows).astype(np.int64)
+        if len(self.known) > REMEMBER or self.known.nbytes > REMEMBER_BYTES:
+            self.forget()
+        number = np.asarray(pc.index_in(words.dictionary, value_set=self.known).fill_null(-1)).copy()
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            names = words.dictionary.take(pa.array(new)).to_pylist()
+            part = np.cumsum([len(w) for w in names]) // AT_ONCE
+            for lo, hi in itertools.pairwise([*np.flatnonzero(np.diff(part, prepend=-1)), len(names)]):
+                for ids in self.segments([w.replace(" ", SPACE) for w in names[lo:hi]]):
+                    self.ids.frombytes(ids.tobytes())
+                    self.ends.append(len(self.ids))
+            self.known = pa.concat_arrays([self.known, pa.array(names, pa.string())])
+        of = number[np.asarray(words.indices)]
+        ends = np.array(self.ends, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(self.ids, np.uint16))).take(pa.array(of))
+        return np.asarray(lists.values), np.bincount(mark, weights=np.diff(ends)[of], minlength=rows).astype(np.int64)
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
         """The texts of the ids, n to each: the pieces' bytes in a row, without the space before the first."""
