@@ -43,7 +43,7 @@ def limb_deviation(norm: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def within_tolerance(norm: DataFrame, reference: DataFrame, tolerance: int) -> DataFrame:
-    """The best match of each body within so many frames of the reference: run, track, frame, lag, score; the smaller, then the earlier lag of equal ones.
+    """The best match of each body within so many frames of the reference: run, track, frame, lag, score; of scores equal to nine digits the smaller, then the earlier lag.
 
     Each joint row is sent to 2 * tolerance + 1 frames, an equi-join by frame
     instead of a range join; lag 0 and a null score where nothing matches.
@@ -53,7 +53,7 @@ def within_tolerance(norm: DataFrame, reference: DataFrame, tolerance: int) -> D
     r = reference.where(F.col("rx").isNotNull()).select("run", F.col("frame").alias("at"), "joint", "rx", "ry")
     d = n.join(r, ["run", "at", "joint"]).withColumn("d", F.sqrt(F.pow(F.col("nx") - F.col("rx"), 2) + F.pow(F.col("ny") - F.col("ry"), 2)))
     s = d.groupBy(*BODY, "lag").agg(F.avg("d").alias("score"))
-    best = s.groupBy(*BODY).agg(F.min(F.struct("score", F.abs("lag").alias("far"), "lag")).alias("m"))
+    best = s.groupBy(*BODY).agg(F.min(F.struct(F.round("score", 9).alias("about"), F.abs("lag").alias("far"), "lag", "score")).alias("m"))
     return norm.select(*BODY).distinct().join(best, BODY, "left").select(*BODY, F.coalesce("m.lag", F.lit(0)).alias("lag"), F.col("m.score").alias("score"))
 
 

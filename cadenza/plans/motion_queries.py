@@ -271,7 +271,7 @@ ORACLE_SQL = {
         "SELECT b.track, b.frame, coalesce(m.lag, 0) AS lag, round(m.score, 6) AS score FROM (SELECT DISTINCT track, frame FROM norm) b LEFT JOIN best m USING (track, frame)",
         s="""SELECT n.track, n.frame, CAST(r.frame - n.frame AS INTEGER) AS lag, avg(sqrt(power(nx - rx, 2) + power(ny - ry, 2))) AS score FROM norm n JOIN ref r ON n.joint = r.joint AND r.frame - n.frame BETWEEN -3 AND 3
         WHERE nx IS NOT NULL AND rx IS NOT NULL GROUP BY n.track, n.frame, r.frame""",
-        best="SELECT track, frame, lag, score FROM (SELECT *, row_number() OVER (PARTITION BY track, frame ORDER BY score, abs(lag), lag) AS k FROM s) WHERE k = 1",
+        best="SELECT track, frame, lag, score FROM (SELECT *, row_number() OVER (PARTITION BY track, frame ORDER BY round(score, 9), abs(lag), lag) AS k FROM s) WHERE k = 1",
     ),
     "worst_moments": with_views(
         "dev",
