@@ -7,6 +7,8 @@ from the text, several times its size, stay small.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - (o[0] if len(o) else 0)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: Python workers wait idle between stages, and beside them other work goes on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column has at most so many bytes in each, or one row."""
     for batch in batches:
@@ -51,6 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(o, o[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

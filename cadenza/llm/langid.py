@@ -22,6 +22,8 @@ BUCKETS = 1 << 15
 #: Training rows, at most, for each language. Rows are taken by a hash of their text, so the sample is the same for every run.
 SAMPLE = 4000
 LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of text that are judged at once: every trigram of them has a row of likelihoods.
+AT_ONCE = 1 << 19
 PENALTY = 2.0
 ROUNDS = 12
 
@@ -177,7 +179,7 @@ def predict(docs: DataFrame, model: DataFrame, most_labels: int = 64, keep: tupl
     out_type = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "languages string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             names, scores, sets = judge(batch.column(len(keep)), labels, shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], [*keep, "lang_pred", "score", "languages"])
 
@@ -191,7 +193,7 @@ def keep_known(docs: DataFrame, model: DataFrame, least: float = 0.5, most_label
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             names, scores, _ = judge(batch.column(at), labels, shared.value)
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
