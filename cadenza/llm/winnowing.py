@@ -5,6 +5,12 @@ K consecutive pieces are hashed, the hashes doubling in reach from single
 pieces, and of every WINDOW consecutive hashes the smallest is kept, the
 rightmost of equal ones, with its position. Two texts that share a stretch of
 WINDOW + K - 1 pieces share a kept hash.
+
+Pieces stand where a run of other characters than white space begins, so a
+text without spaces shares none with itself a character further on. The
+rolling fingerprint has a gram at every character that isn't white space, with
+its place in the text: a shared stretch of ROLL_WINDOW + ROLL_K - 1 such
+characters shares a kept hash wherever it stands.
 """
 
 from __future__ import annotations
@@ -21,6 +27,11 @@ K = 4
 WINDOW = 8
 #: A kept value is a hash above so many bits that hold the position, counted down.
 POSITION_BITS = 25
+#: Characters of a rolling gram, rolling grams of a window, and bits of their position.
+ROLL_K = 16
+ROLL_WINDOW = 32
+ROLL_BITS = 28
+WHITE = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
 
 def _doubled(column: str, reach: int, join) -> Column:
@@ -37,34 +48,52 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     columns _p, _h, _v, _m are used on the way and dropped.
     """
     df = df.withColumn("_p", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
+    return _kept(df, out, K, WINDOW, POSITION_BITS)
+
+
+def rolling(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with ``out``: array<long> of kept values of grams at every character that isn't white space, with their offsets in code points.
+
+    Short and missing texts are as for ``fingerprint``. The columns _c, _o,
+    _p, _h, _v, _m are used on the way and dropped.
+    """
+    solid = lambda c: (c != "") & ~c.isin(*WHITE)
+    df = df.withColumn("_c", F.split(F.coalesce(F.col(text), F.lit("")), ""))
+    df = df.withColumn("_p", F.filter("_c", solid)).withColumn("_o", F.filter(F.transform("_c", lambda c, i: F.when(solid(c), i)), lambda i: i.isNotNull()))
+    return _kept(df.drop("_c"), out, ROLL_K, ROLL_WINDOW, ROLL_BITS, "_o").drop("_o")
+
+
+def _kept(df: DataFrame, out: str, k: int, window: int, bits: int, places: str | None = None) -> DataFrame:
+    """df with the kept values of the pieces in _p as ``out``, and without _p; their positions are of grams, or from an array of places."""
     df = df.withColumn("_h", F.transform("_p", lambda p: F.xxhash64(p)))
     reach = 1
-    while reach < K:
-        df = df.withColumn("_h", F.when(F.size("_p") >= K, _doubled("_h", reach, lambda a, b: F.xxhash64(a, b))).otherwise(F.col("_h")))
+    while reach < k:
+        df = df.withColumn("_h", F.when(F.size("_p") >= k, _doubled("_h", reach, lambda a, b: F.xxhash64(a, b))).otherwise(F.col("_h")))
         reach *= 2
     alone = F.when(F.size("_p") == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("_p")))
-    df = df.withColumn("_h", F.when(F.size("_p") >= K, F.col("_h")).otherwise(alone)).drop("_p")
-    last = (1 << POSITION_BITS) - 1
+    df = df.withColumn("_h", F.when(F.size("_p") >= k, F.col("_h")).otherwise(alone)).drop("_p")
+    last = (1 << bits) - 1
     high = F.lit(~last & ((1 << 63) - 1))
-    df = df.withColumn("_v", F.transform("_h", lambda h, i: h.bitwiseAND(high).bitwiseOR(F.lit(last).cast("long") - i)))
+    value = lambda h, i: h.bitwiseAND(high).bitwiseOR(F.lit(last).cast("long") - i)
+    df = df.withColumn("_v", F.zip_with("_h", F.slice(places, F.lit(1), F.size("_h")), value) if places else F.transform("_h", value))
     df = df.withColumn("_m", F.col("_v"))
     reach = 1
-    while reach < WINDOW:
-        df = df.withColumn("_m", F.when(F.size("_v") >= WINDOW, _doubled("_m", reach, lambda a, b: F.least(a, b))).otherwise(F.col("_m")))
+    while reach < window:
+        df = df.withColumn("_m", F.when(F.size("_v") >= window, _doubled("_m", reach, lambda a, b: F.least(a, b))).otherwise(F.col("_m")))
         reach *= 2
-    kept = F.when(F.size("_v") >= WINDOW, F.array_distinct("_m")).when(F.size("_v") > 0, F.array(F.array_min("_v"))).otherwise(F.col("_v"))
+    kept = F.when(F.size("_v") >= window, F.array_distinct("_m")).when(F.size("_v") > 0, F.array(F.array_min("_v"))).otherwise(F.col("_v"))
     return df.withColumn(out, kept).drop("_h", "_v", "_m")
 
 
-def hashes(kept: str | Column) -> Column:
+def hashes(kept: str | Column, bits: int = POSITION_BITS) -> Column:
     """The distinct hashes of a fingerprint, without positions."""
-    return F.array_distinct(F.transform(kept, lambda v: F.shiftright(v, POSITION_BITS)))
+    return F.array_distinct(F.transform(kept, lambda v: F.shiftright(v, bits)))
 
 
-def text_form(kept: str) -> Column:
+def text_form(kept: str, bits: int = POSITION_BITS) -> Column:
     """A fingerprint as text: hash in hexadecimal, colon, position of the gram, comma-joined."""
-    last = (1 << POSITION_BITS) - 1
-    return F.array_join(F.transform(kept, lambda v: F.concat(F.hex(F.shiftright(v, POSITION_BITS)), F.lit(":"), (F.lit(last) - v.bitwiseAND(F.lit(last))).cast("string"))), ",")
+    last = (1 << bits) - 1
+    return F.array_join(F.transform(kept, lambda v: F.concat(F.hex(F.shiftright(v, bits)), F.lit(":"), (F.lit(last) - v.bitwiseAND(F.lit(last))).cast("string"))), ",")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -100,14 +129,16 @@ def with_next(docs: DataFrame, columns: list[str], prepare: Callable[[DataFrame]
 
 
 def op8_winnowing(spark, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, its edited text's, and their likeness."""
+    """Every document's fingerprint, its edited text's, and their likeness; then the same of rolling fingerprints."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(docs, ["text", "kept"], lambda x: fingerprint(x, "text", "kept"))
+    d = with_next(docs, ["text", "kept", "rolled"], lambda x: rolling(fingerprint(x, "text", "kept"), "text", "rolled"))
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     d = d.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - cut), F.left(F.col("next.text"), cut)))
-    d = d.withColumn("next_hashes", hashes("next.kept")).withColumn("own", hashes("kept")).drop("next", "text")
+    d = d.withColumn("next_hashes", hashes("next.kept")).withColumn("own", hashes("kept"))
+    d = d.withColumn("next_rolled", hashes("next.rolled", ROLL_BITS)).withColumn("own_rolled", hashes("rolled", ROLL_BITS)).drop("next", "text")
     d = fingerprint(d, "edited", "edited_kept").withColumn("edited_hashes", hashes("edited_kept"))
+    d = rolling(d, "edited", "edited_roll").withColumn("edited_rolled", hashes("edited_roll", ROLL_BITS))
     return d.select(
         "doc_id",
         "n_chars",
@@ -116,4 +147,8 @@ def op8_winnowing(spark, sf_dir: str) -> DataFrame:
         text_form("edited_kept").alias("edited_fingerprint"),
         likeness("own", "edited_hashes").alias("near_edited"),
         likeness("own", "next_hashes").alias("near_next"),
+        text_form("rolled", ROLL_BITS).alias("rolling_fingerprint"),
+        text_form("edited_roll", ROLL_BITS).alias("rolling_edited_fingerprint"),
+        likeness("own_rolled", "edited_rolled").alias("rolling_near_edited"),
+        likeness("own_rolled", "next_rolled").alias("rolling_near_next"),
     )

@@ -1,0 +1,66 @@
+"""Rolling fingerprints against windows taken one by one; unspaced passages that stand a few characters further on."""
+
+import random
+
+import pytest
+
+from cadenza.llm import winnowing as w
+from tests.llm.test_winnowing import TEXTS, h64, pair
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(text):
+    solid = [(k, c) for k, c in enumerate(text or "") if c not in w.WHITE]
+    if not solid:
+        return []
+    if len(solid) < w.ROLL_K:
+        seed = 42
+        for _k, c in solid:
+            seed = h64(c.encode(), seed)
+        grams = [seed]
+    else:
+        grams, reach = [h64(c.encode()) for _k, c in solid], 1
+        while reach < w.ROLL_K:
+            grams, reach = [pair(a, b) for a, b in zip(grams, grams[reach:])], 2 * reach
+    kept = {}
+    for at in range(max(1, len(grams) - w.ROLL_WINDOW + 1)):
+        g, k = min(((grams[k] & ((1 << 63) - 1)) >> w.ROLL_BITS, -k) for k in range(at, min(len(grams), at + w.ROLL_WINDOW)))
+        kept[g, solid[-k][0]] = None
+    return list(kept)
+
+
+def form(text):
+    return ",".join(f"{h:X}:{k}" for h, k in brute(text))
+
+
+def test_texts_one_by_one(spark):
+    texts = [*TEXTS, " \n lorem\tipsum " * 9, "我们今天去公园散步" * 12]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = w.rolling(df, "text", "kept").select("k", w.text_form("kept", w.ROLL_BITS).alias("f")).orderBy("k").collect()
+    assert [r.f for r in got] == [form(t) for t in texts]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnop", "我们今天去公园散步的是一不了人在有"])
+def test_shifted_unspaced_passages_share_a_hash(spark, alphabet):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    rows = []
+    for k in range(30):
+        p = text(w.ROLL_WINDOW + w.ROLL_K - 1)
+        rows.append((k, p, text(k % 3 + 1) + p + text(k % 5)))
+    df = w.rolling(w.rolling(spark.createDataFrame(rows, "k int, a string, b string"), "a", "ka"), "b", "kb")
+    for r in df.select(w.hashes("ka", w.ROLL_BITS).alias("a"), w.hashes("kb", w.ROLL_BITS).alias("b")).collect():
+        assert set(r.a) & set(r.b)
+
+
+def test_query(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rows = w.op8_winnowing(spark, SF).orderBy("doc_id").collect()
+    for k in range(0, len(rows), 20):
+        nxt = texts[(k + 1) % len(texts)]
+        edited = texts[k][: len(texts[k]) - len(texts[k]) // 4] + nxt[: len(texts[k]) // 4]
+        a, b, c = ({h for h, _k in brute(t)} for t in (texts[k], edited, nxt))
+        assert (rows[k].rolling_fingerprint, rows[k].rolling_edited_fingerprint) == (form(texts[k]), form(edited))
+        assert rows[k].rolling_near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert rows[k].rolling_near_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0)
