@@ -139,14 +139,14 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def redact_text(text: str | None) -> str | None:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first, then the longest, counts."""
+    """The text with each span replaced by its kind in brackets; overlapping spans are replaced as one, by the kind of the first, then the longest."""
     if not text:
         return text
     out, free = [], 0
     for s, e, kind, _ in sorted(find(text), key=lambda x: (x[0], -x[1])):
         if s >= free:
             out += [text[free:s], f"[{kind}]"]
-            free = e
+        free = max(free, e)
     return "".join(out) + text[free:] if out else text
 
 
