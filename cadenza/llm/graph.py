@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.plans.scratch import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component of every node with an edge: the smallest node it reaches.
 
     ``edges`` has the long columns a and b. Large stars point each node's
@@ -20,7 +20,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     e = scratch.save(e)
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     seen = e.agg(mark.alias("m")).first()["m"]
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -33,8 +33,6 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         seen = e.agg(mark.alias("m")).first()["m"]
         if seen == last:
             break
-    else:
-        raise RuntimeError("the components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

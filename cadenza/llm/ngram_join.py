@@ -11,17 +11,21 @@ of parts and are joined on equal parts; a second, dense sketch of single
 parity bits then discards candidates by Hamming distance, and the rest are
 verified on their texts.
 
-Shingles that very many texts share are left out of the sketches. A text that
-then has too few parts left also enters a finer join, whose parts are single
-shingles, so nothing is lost.
+Shingles that very many texts share are left out of the sketches. Texts that
+then have too few parts left also enter a finer join on single shingles: the
+first quarter of each set and one more, those that few texts have before the
+others, of which similar sets have one in common. So nothing is lost.
 
 Groups of texts with an equal part are not expanded into pairs. Of groups with
-the same members one is kept. Each member is first compared with one hub. Then
-connected components are made, and only members of different components are
-compared with each other, by their dense sketches and inside of the task that
-has the group; what passes is verified. That is done twice: first a task gives
-no more than the pairs that would tie its group's components together, a
-number below the group's size, then all that still lie in different ones.
+the same members one is kept. Each member is first compared with one hub, and
+connected components are made. Then members of different components are
+compared by their dense sketches inside of tasks: a group is dealt over cells
+of bounded size, so that each member outside of the group's largest component
+meets every other one in some cell, and a cell gives no more than a forest of
+pairs that ties together what its sketches allow to link. The forest is
+verified. Components that it ties together wrongly are few; each bundle of them
+is dealt over cells once more, now with whole sets of shingles, and a cell
+gives a forest of links that hold.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +50,10 @@ LEAST_BITS, MOST_BITS = 64, 8192
 SHARED_BITS = 22
 #: A shingle is shared if so many texts have it, or this fraction of them if that is more.
 SHARED_LEAST, SHARED_FRACTION = 50, 1e-4
+#: Shared shingles deal their texts over so many groups, each with a hub of its own.
+SALTS = 64
+#: A cell has members of about so many shingles in all, members of few shingles counting as many as LEAST_WEIGHT.
+CELL_WEIGHT, LEAST_WEIGHT = 1 << 20, 256
 #: Documents the text filter of the verification can tell apart: a table of fixed size, 512 KiB.
 FILTER_BITS = 22
 
@@ -95,7 +104,7 @@ def _most_apart(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _signatures(shared: np.ndarray):
-    """Rows (key, node): the parts of the sketch that a document is joined on. shared: table of shared shingles by leading bits."""
+    """Rows (key, salt, node): what a document is joined on. shared: table of shared shingles by leading bits; keys of theirs have a salt, others -1."""
 
     def keys(h: np.ndarray, at: np.ndarray, band: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys and rows of each row's first apart + 1 parts that are not empty, and which rows have fewer."""
@@ -129,135 +138,183 @@ def _signatures(shared: np.ndarray):
                 seen.clear()
             row = np.repeat(np.arange(len(n)), n)
             bucket = h >> np.uint64(64 - SHARED_BITS)
-            rare = fresh[row] & ~((table[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            common = ((table[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            rare = fresh[row] & ~common
             band, own, below = _most_apart(n)
             own, below = np.where(fresh, own, -1), np.where(fresh, below, -1)
             r_at = np.searchsorted(row[rare], np.arange(len(n) + 1))
             k1, r1, few1 = keys(h[rare], r_at, band, own)
             k2, r2, few2 = keys(h[rare], r_at, np.maximum(band - 1, 0), below)
-            single = (few1 | few2)[row] & (np.arange(len(h)) - at[row] <= own[row])
-            key = np.concatenate([k1, k2, mix(h[single] ^ _SINGLE)])
-            of = np.concatenate([r1, r2, row[single]])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(_signed(node)[of])], ["key", "node"])
+            finer = np.flatnonzero((few1 | few2)[row])
+            finer = finer[np.argsort(2 * row[finer] + common[finer], kind="stable")]  # by row, those of few texts first, then by hash
+            finer = finer[np.arange(len(finer)) - np.searchsorted(row[finer], row[finer]) <= n[row[finer]] // 4]
+            key = np.concatenate([k1, k2, mix(h[finer] ^ _SINGLE)])
+            of = np.concatenate([r1, r2, row[finer]])
+            salt = np.full(len(key), -1, np.int8)
+            tail = salt[len(key) - len(finer) :]
+            tail[:] = np.where(common[finer], (node[row[finer]] % np.uint64(SALTS)).astype(np.int8), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(salt), pa.array(_signed(node)[of])], ["key", "salt", "node"])
 
     return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node to (key, hub, node) of the keys with several nodes; the hub is a key's first node. Holds one row of state."""
-    last_key = hub = last_node = None
-    open_alone = False
+    """Rows sorted by key, salt and node to (key, salt, hub, node) of the groups with several nodes or a salt; the hub is a group's first node. Holds one row of state."""
+    last = None  # key, salt, node and hub of the row before, and whether that is its group's only one so far and not given out
     for batch in batches:
-        key, node = (np.asarray(c) for c in batch.columns)
+        key, salt, node = (np.asarray(c) for c in batch.columns)
         if not len(key):
             continue
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        if last_key is not None and key[0] == last_key and node[0] == last_node:
-            keep[0] = False
-        last_key_here, last_node_here = key[-1], node[-1]
-        key, node = key[keep], node[keep]
-        if not len(key):
-            continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        goes_on = last_key is not None and key[0] == last_key
+        if last is not None:
+            key, salt, node = np.append(last[0], key), np.append(last[1], salt), np.append(last[2], node)
+        new = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+        keep = new.copy()
+        keep[1:] |= node[1:] != node[:-1]
+        key, salt, node, new = key[keep], salt[keep], node[keep], new[keep]
         begin = np.flatnonzero(new)
+        hubs = node[begin]
         size = np.diff(np.append(begin, len(key)))
-        hubs = node[begin].copy()
-        if goes_on:
-            hubs[0] = hub
+        given = np.zeros(len(key), bool)
+        if last is not None:
+            hubs[0], given[0] = last[3], not last[4]
+        several = (size > 1) | (salt[begin] >= 0)
+        several[0] |= bool(given[0])
         of = np.cumsum(new) - 1
-        several = size > 1
-        if goes_on:
-            several[0] = True
-        out = several[of]
-        k, h, x = key[out], hubs[of][out], node[out]
-        if goes_on and open_alone:
-            k, h, x = np.append(k, last_key), np.append(h, hub), np.append(x, hub)
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(x)], ["key", "hub", "node"])
-        open_alone = not several[-1]
-        last_key, hub, last_node = last_key_here, hubs[-1], last_node_here
-
-
-def _across(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and component to the pairs (a, b) of a key's nodes in different components that sizes and dense sketches allow to link.
-
-    forest: of these only as many as tie the components together.
-    """
-
-    def close(sketch: np.ndarray, at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs (i, j) have sketches close enough. Of sketches of different sizes the larger one's halves are XORed."""
-        ok, words = np.zeros(len(i), bool), np.diff(at)
-        w = np.minimum(words[i], words[j])
-        for size in np.unique(w).tolist():
-            own = np.flatnonzero(w == size)
-            for lo in range(0, len(own), max(1, (1 << 20) // size)):
-                part = own[lo : lo + max(1, (1 << 20) // size)]
-                a, b = i[part], j[part]
-                span = np.arange(size)
-                x = sketch[at[a][:, None] + span] ^ sketch[at[b][:, None] + span]
-                for side in (a, b):
-                    wide = words[side] > size
-                    x[wide] ^= sketch[at[side[wide]][:, None] + size + span]
-                ok[part] = 7 * np.bitwise_count(x).sum(1, dtype=np.int64) <= n[a] + n[b]
-        return ok
-
-    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray, at_words: np.ndarray) -> Iterator[np.ndarray]:
-        new = np.append(True, comp[1:] != comp[:-1])
-        begin = np.flatnonzero(new)
-        tree = np.cumsum(new) - 1
-        for lo, hi in zip(begin, np.append(begin[1:], len(comp)), strict=True):
-            if hi == len(comp):
-                break
-            block = max(1, 200_000 // (len(comp) - hi))
-            for at in range(lo, hi, block):
-                own = slice(at, min(hi, at + block))
-                a, b = n[own][:, None], n[None, hi:]
-                i, j = np.nonzero(4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
-                i, j = i + at, j + hi
-                if forest:
-                    apart = tree[j] != tree[lo]
-                    i, j = i[apart], j[apart]
-                ok = close(sketch, at_words, n, i, j)
-                if ok.any():
-                    i, j = i[ok], j[ok]
-                    if forest:
-                        joined, one = np.unique(tree[j], return_index=True)
-                        i, j = i[one], j[one]
-                        tree[np.isin(tree, joined)] = tree[lo]
-                    x, y = node[i], node[j]
-                    yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
-
-    def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.unique(np.concatenate(found), axis=0)
+        out = several[of] & ~given
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, salt, hubs[of], node)], ["key", "salt", "hub", "node"])
+        last = key[-1:], salt[-1:], node[-1:], hubs[-1], bool(size[-1] == 1 and not several[-1])
+
+
+def _close(sketch: np.ndarray, at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have sketches close enough. Of sketches of different sizes the larger one's halves are XORed."""
+    ok, words = np.zeros(len(i), bool), np.diff(at)
+    w = np.minimum(words[i], words[j])
+    for size in np.unique(w).tolist():
+        own = np.flatnonzero(w == size)
+        for lo in range(0, len(own), max(1, (1 << 20) // size)):
+            part = own[lo : lo + max(1, (1 << 20) // size)]
+            a, b = i[part], j[part]
+            span = np.arange(size)
+            x = sketch[at[a][:, None] + span] ^ sketch[at[b][:, None] + span]
+            for side in (a, b):
+                wide = words[side] > size
+                x[wide] ^= sketch[at[side[wide]][:, None] + size + span]
+            ok[part] = 7 * np.bitwise_count(x).sum(1, dtype=np.int64) <= n[a] + n[b]
+    return ok
+
+
+def _similar(sets: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have sets similar enough. Pairs with one i should follow each other."""
+    n = np.diff(at)
+    both = np.zeros(len(i), np.int64)
+    begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    for lo, hi in zip(begin, np.append(begin[1:], len(i)), strict=True):
+        own, others = sets[at[i[lo]] : at[i[lo] + 1]], j[lo:hi]
+        size = n[others]
+        end = np.cumsum(size)
+        values = sets[np.arange(end[-1]) + np.repeat(at[others] - (end - size), size)]
+        place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        both[lo:hi] = np.add.reduceat(own[place] == values, end - size, dtype=np.int64)
+    return 100 * both >= 75 * (n[i] + n[j] - both)
+
+
+def _forest(comp: np.ndarray, node: np.ndarray, n: np.ndarray, member: np.ndarray, probe: np.ndarray, loose: np.ndarray, sketch: tuple[np.ndarray, np.ndarray], sets: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[int, int]]:
+    """Pairs of nodes, one fewer than the components they tie together: probes against members, by sketches and, where sets are given, by these."""
+    tree = np.unique(comp, return_inverse=True)[1]
+    root = np.arange(len(comp) and int(tree.max()) + 1)
+    found = []
+    others = np.flatnonzero(member)
+    every = np.flatnonzero(probe)
+    block = max(1, 200_000 // max(1, len(others)))
+    for lo in range(0, len(every), block):
+        p = every[lo : lo + block][:, None]
+        a, b = n[p], n[others]
+        fits = 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
+        fits &= (root[tree[p]] != root[tree[others]]) & (~loose[others] | (node[p] < node[others]))
+        i, j = np.nonzero(fits)
+        i, j = p[i, 0], others[j]
+        ok = _close(*sketch, n, i, j)
+        i, j = i[ok], j[ok]
+        while len(i):
+            apart = root[tree[i]] != root[tree[j]]
+            i, j = i[apart], j[apart]
+            some = len(i) if sets is None else max(1, int(np.searchsorted(np.cumsum(n[j]), 1 << 18)))
+            x, y = i[:some], j[:some]
+            i, j = i[some:], j[some:]
+            if sets is not None:
+                ok = _similar(*sets, x, y)
+                x, y = x[ok], y[ok]
+            kinds = np.unique(root[tree[x]] * len(root) + root[tree[y]], return_index=True)[1]
+            for u, v in zip(x[kinds].tolist(), y[kinds].tolist(), strict=True):
+                r, s = root[tree[u]], root[tree[v]]
+                if r != s:
+                    root[root == s] = r
+                    found.append((int(node[u]), int(node[v])))
+    return found
+
+
+def _ties(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell to each cell's forest of pairs (a, b), a < b. exact: the rows have whole sets, and the pairs hold."""
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        length = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.asarray(column.flatten()).view(np.uint64), np.append(0, np.cumsum(length))
+
+    def pairs(cell: pa.RecordBatch) -> list[tuple[int, int]]:
+        comp, node, n, member, probe, loose = (c.to_numpy(zero_copy_only=False) for c in cell.columns[1:7])
+        return _forest(comp, node, n, member, probe, loose, lists(cell.column(7)), lists(cell.column(8)) if exact else None)
+
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        x = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    rest: list[np.ndarray] | None = None
-    found: list[np.ndarray] = []
+    rest: list[pa.RecordBatch] = []
+    found: list[tuple[int, int]] = []
     for batch in batches:
-        now = [np.asarray(c) for c in batch.columns[:4]] + [np.asarray(batch.column(4).flatten()).view(np.uint64)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        words = np.append(0, np.cumsum(_bits(now[3]) // 64))
-        key = now[0]
-        if not len(key):
+        if not batch.num_rows:
             continue
-        cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        for lo, hi in zip(cut[:-2], cut[1:-1], strict=True):
-            if now[1][lo] != now[1][hi - 1]:
-                found += pairs(*(x[lo:hi] for x in now[1:4]), now[4], words[lo : hi + 1])
-                if sum(map(len, found)) > 100_000:
-                    yield out(found)
-                    found = []
-        rest = [x[cut[-2] :] for x in now[:4]] + [now[4][words[cut[-2]] :]]
-    if rest is not None and len(rest[0]) and rest[1][0] != rest[1][-1]:
-        found += pairs(*rest[1:], np.append(0, np.cumsum(_bits(rest[3]) // 64)))
+        cell = np.asarray(batch.column(0))
+        cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        if rest and rest[-1].column(0)[-1].as_py() != cell[0]:
+            cut = np.append(0, cut)
+        at = 0
+        for to in cut.tolist():
+            rest.append(batch.slice(at, to - at))
+            found += pairs(pa.concat_batches(rest))
+            rest, at = [], to
+            if len(found) > 100_000:
+                yield out(found)
+                found = []
+        rest.append(batch.slice(at))
+    if rest:
+        found += pairs(pa.concat_batches(rest))
     if found:
         yield out(found)
 
 
+def _dealt(members: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
+    """The pairs (a, b) that cells of ``members`` (key, comp, node, n) give. payload: node and what is compared, its sketch and, if exact, its set.
+
+    A group whose members have one component gives nothing. Of the others the
+    members are dealt over blocks, and those outside of the largest component
+    over blocks of probes; a cell is a block of members with one of probes.
+    """
+    weight = F.greatest("n", F.lit(LEAST_WEIGHT))
+    of = members.groupBy("key", "comp").agg(F.sum(weight).alias("w"))
+    of = of.groupBy("key").agg(F.sum("w").alias("w"), F.max("w").alias("most"), F.max_by("comp", F.struct("w", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+    of = of.select("key", "largest", F.ceil(F.col("w") / CELL_WEIGHT).alias("blocks"), F.ceil((F.col("w") - F.col("most")) / CELL_WEIGHT).alias("probes"))
+    x = members.join(of, "key").withColumn("loose", F.col("comp") != F.col("largest"))
+    x = x.withColumn("b", F.pmod(F.xxhash64("node"), "blocks")).withColumn("p", F.pmod(F.xxhash64("node", F.lit(1)), "probes"))
+    cell = lambda b, p: F.struct(b.alias("b"), p.alias("p"))
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1), lambda p: cell(F.col("b"), p))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: cell(b, F.col("p")))
+    x = x.withColumn("at", F.explode(F.when(F.col("loose"), F.array_union(own, met)).otherwise(own)))
+    x = x.select(F.xxhash64("key", "at.b", "at.p").alias("cell"), "comp", "node", "n", (F.col("at.b") == F.col("b")).alias("member"), (F.col("loose") & (F.col("at.p") == F.col("p"))).alias("probe"), "loose")
+    x = x.join(payload, "node").select("cell", "comp", "node", "n", "member", "probe", "loose", *payload.columns[1:])
+    return x.repartition("cell").sortWithinPartitions("cell").mapInArrow(partial(_ties, exact=exact), "a long, b long").distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts are similar enough, by their whole sets of shingles."""
     for batch in slices(batches, "ta", 1 << 20):
@@ -285,12 +342,19 @@ def _linked(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     apart = F.aggregate(F.zip_with(cut("sa"), cut("sb"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     x = x.where(7 * apart <= F.col("na") + F.col("nb")).select("ra", "rb")
-    needed = x.select(F.col("ra").alias("id")).union(x.select(F.col("rb").alias("id")))
+    texts = _texts_of(docs, x.select(F.col("ra").alias("id")).union(x.select(F.col("rb").alias("id"))))
+    x = x.join(texts.select(F.col("id").alias("ra"), F.col("text").alias("ta")), "ra")
+    x = x.join(texts.select(F.col("id").alias("rb"), F.col("text").alias("tb")), "rb")
+    return x.select("ra", "rb", "ta", "tb").mapInArrow(_verify, "a long, b long")
+
+
+def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """id and text of documents, those whose id is in ``needed`` and few others."""
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS).alias("slot")
     slots = needed.select(slot).distinct().toPandas().slot.to_numpy()  # at most 2 ** FILTER_BITS
     bits = np.zeros(1 << FILTER_BITS, np.uint8)
     bits[slots] = 1
-    table = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,10 +362,15 @@ def _linked(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             hit = (table.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[:2]], ["id", "text"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL").withColumn("slot", slot).mapInArrow(wanted, "id long, text string")
-    x = x.join(texts.select(F.col("id").alias("ra"), F.col("text").alias("ta")), "ra")
-    x = x.join(texts.select(F.col("id").alias("rb"), F.col("text").alias("tb")), "rb")
-    return x.select("ra", "rb", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    return docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL").withColumn("slot", slot).mapInArrow(wanted, "id long, text string")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to id, node and the set of shingles."""
+    for batch in slices(batches):
+        h, at = shingle_sets(*text_bytes(batch.column(1)))
+        node = row_sums(mix(h ^ _A), at)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(node)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(_signed(h)))], ["rep", "node", "shingles"])
 
 
 def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -328,15 +397,20 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     sets = info.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = scratch.save(sets.withColumnRenamed("h1", "node"))
-    signed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(shared), "key long, node long")
-    grouped = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, hub long, node long")
+    signed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(shared), "key long, salt byte, node long")
+    grouped = signed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_groups, "key long, salt byte, hub long, node long")
     every = scratch.save(grouped)
     # Near-duplicates share very many keys; of keys with the same members one is enough.
-    sets = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    one = sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    groups = scratch.save(every.join(one, "key", "left_semi"))
+    sums = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    sets = every.groupBy("key", "salt").agg(F.count("*").alias("n"), *sums)
+    sets = sets.groupBy("key").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_set("salt").alias("salts")).where("n > 1")
+    one = sets.groupBy("n", "x", "y").agg(F.min_by("salts", "key").alias("salts"), F.min("key").alias("key")).select("key", F.explode("salts").alias("salt"))
+    groups = scratch.save(every.join(one, ["key", "salt"], "left_semi"))
     scratch.drop(every)
-    first = scratch.save(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    tied = groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    hubs = groups.where("salt >= 0").select("key", "hub").distinct()
+    tied = tied.union(hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("a")), "key").where("a <> hub").select("a", F.col("hub").alias("b")))
+    first = scratch.save(tied.distinct())
     held = scratch.save(_linked(first, nodes, docs))
     # A doc_id with several texts ties their sets together.
     same = info.where("n > 0 AND id IS NOT NULL").join(nodes.select(F.col("node").alias("h1"), "h2", "rep"), ["h1", "h2"])
@@ -344,21 +418,27 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     held = held.union(same.select(F.col("id").alias("a"), F.col("lo").alias("b"))).union(same.select(F.col("id").alias("a"), F.col("hi").alias("b")))
     comps = scratch.save(components(held, scratch))
 
-    comp = F.coalesce("component", "rep")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for forest in (True, False):
-        labelled = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", comp.alias("comp"), "n", "sketch")
-        members = scratch.save(groups.select("key", "node").join(labelled.select("node", "comp"), "node"))
-        open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        shown = members.join(open_keys, "key", "left_semi").join(labelled.select("node", "n", "sketch"), "node").select("key", "comp", "node", "n", "sketch")
-        pairs = shown.repartition("key").sortWithinPartitions("key", "comp", "node").mapInArrow(partial(_across, forest=forest), "a long, b long").distinct()
-        across = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
-        scratch.drop(members)
-        more = scratch.save(_linked(across, nodes, docs))
-        if not more.isEmpty():
-            comps = scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch))
-        tried = tried.union(across)
+    def labelled(*more: str) -> DataFrame:
+        """Every node with its component so far."""
+        return nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("comp"), "n", *more)
+
+    def merged(links: DataFrame) -> DataFrame:
+        return comps if links.isEmpty() else scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), scratch))
+
+    across = scratch.save(_dealt(groups.select("key", "node").join(labelled(), "node"), nodes.select("node", "sketch"), False))
     scratch.drop(groups)
+    comps = merged(scratch.save(_linked(across.exceptAll(first), nodes, docs)))
+    ends = across.join(labelled().select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labelled().select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    wrong = scratch.save(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not wrong.isEmpty():
+        bundles = components(wrong, scratch).select(F.col("node").alias("comp"), F.col("component").alias("key"))
+        members = scratch.save(labelled("rep", "sketch").join(bundles, "comp"))
+        sets = _texts_of(docs, members.select(F.col("rep").alias("id"))).mapInArrow(_sets, "rep long, node long, shingles array<long>").dropDuplicates(["rep", "node"])
+        payload = members.select("node", "rep", "sketch").join(sets, ["rep", "node"]).select("node", "sketch", "shingles")
+        pairs = _dealt(members.select("key", "comp", "node", "n"), payload, True)
+        reps = nodes.select("node", "rep")
+        pairs = pairs.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
+        comps = merged(scratch.save(pairs.select("ra", "rb")))
 
     reps = nodes.select(F.col("node").alias("h1"), "h2", "rep")
     out = info.select(F.col("id").alias("doc_id"), "n", "h1", "h2").join(reps, ["h1", "h2"], "left")

@@ -85,6 +85,31 @@ def test_shared_shingles_lose_no_link(spark, planted, monkeypatch):
     assert run(spark, planted) == brute(planted)
 
 
+def test_small_cells_lose_no_link(spark, planted, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARED_LEAST", 4)
+    monkeypatch.setattr(ngram_join, "CELL_WEIGHT", 5000)
+    assert run(spark, planted) == brute(planted)
+
+
+def test_a_large_group_around_the_threshold(spark, monkeypatch):
+    """Copies of one text that differ so much that many of their pairs are no links."""
+    monkeypatch.setattr(ngram_join, "CELL_WEIGHT", 20_000)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(300)}" for _ in range(80)]
+    rows = [(k, " ".join(changed(rng, words, rng.randrange(6)))) for k in range(400)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_groups_go_on_over_batches():
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(8), rng.choice([-1, -1, 0, 1]), rng.randrange(12)) for _ in range(60))
+    for size in (1, 2, 3, 7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + size]), (pa.int64(), pa.int8(), pa.int64()))], ["key", "salt", "node"]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in ngram_join._groups(iter(batches)) for r in b.to_pylist()]
+        groups = {g: sorted({x for *k, x in rows if tuple(k) == g}) for g in {r[:2] for r in rows}}
+        assert sorted(got) == sorted((*g, xs[0], x) for g, xs in groups.items() if len(xs) > 1 or g[1] >= 0 for x in xs)
+
+
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in ngram_join.op2_ngram_jaccard(spark, SF).collect()) == brute(rows)
