@@ -50,7 +50,7 @@ LEAST_BITS, MOST_BITS = 64, 8192
 SHARED_BITS = 22
 #: A shingle is shared if so many texts have it, or this fraction of them if that is more.
 SHARED_LEAST, SHARED_FRACTION = 50, 1e-4
-#: Shared shingles deal their texts over so many groups, each with a hub of its own.
+#: Shared shingles deal their texts over so many groups, each with a hub of its own; 64 at most, which are bits of a long.
 SALTS = 64
 #: A cell has members of about so many shingles in all, members of few shingles counting as many as LEAST_WEIGHT.
 CELL_WEIGHT, LEAST_WEIGHT = 1 << 20, 256
@@ -401,10 +401,11 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     grouped = signed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_groups, "key long, salt byte, hub long, node long")
     every = scratch.save(grouped)
     # Near-duplicates share very many keys; of keys with the same members one is enough.
-    sums = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    sets = every.groupBy("key", "salt").agg(F.count("*").alias("n"), *sums)
-    sets = sets.groupBy("key").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_set("salt").alias("salts")).where("n > 1")
-    one = sets.groupBy("n", "x", "y").agg(F.min_by("salts", "key").alias("salts"), F.min("key").alias("key")).select("key", F.explode("salts").alias("salt"))
+    salts = F.expr("bit_or(CASE WHEN salt >= 0 THEN shiftleft(1L, salt) ELSE 0L END)").alias("salts")
+    sets = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), salts).where("n > 1")
+    one = sets.groupBy("n", "x", "y").agg(F.min_by("salts", "key").alias("salts"), F.min("key").alias("key"))
+    listed = f"CASE WHEN salts = 0 THEN array(-1) ELSE filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1) = 1) END"
+    one = one.select("key", F.explode(F.expr(listed)).cast("byte").alias("salt"))
     groups = scratch.save(every.join(one, ["key", "salt"], "left_semi"))
     scratch.drop(every)
     tied = groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
