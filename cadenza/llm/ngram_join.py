@@ -405,7 +405,7 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     sets = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), salts).where("n > 1")
     one = sets.groupBy("n", "x", "y").agg(F.min_by("salts", "key").alias("salts"), F.min("key").alias("key"))
     listed = f"CASE WHEN salts = 0 THEN array(-1) ELSE filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1) = 1) END"
-    one = one.select("key", F.explode(F.expr(listed)).cast("byte").alias("salt"))
+    one = one.select("key", F.explode(F.expr(listed).cast("array<tinyint>")).alias("salt"))
     groups = scratch.save(every.join(one, ["key", "salt"], "left_semi"))
     scratch.drop(every)
     tied = groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
