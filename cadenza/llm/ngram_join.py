@@ -348,8 +348,8 @@ def _linked(edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return x.select("ra", "rb", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """id and text of documents, those whose id is in ``needed`` and few others."""
+def _texts_of(docs: DataFrame, needed: DataFrame, then=lambda batches: batches, kind: str = "id long, text string") -> DataFrame:
+    """id and text of documents, those whose id is in ``needed`` and few others; or what ``then`` makes of them in the same worker."""
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS).alias("slot")
     slots = needed.select(slot).distinct().toPandas().slot.to_numpy()  # at most 2 ** FILTER_BITS
     bits = np.zeros(1 << FILTER_BITS, np.uint8)
@@ -362,7 +362,7 @@ def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
             hit = (table.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[:2]], ["id", "text"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL").withColumn("slot", slot).mapInArrow(wanted, "id long, text string")
+    return docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL").withColumn("slot", slot).mapInArrow(lambda batches: then(wanted(batches)), kind)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +434,7 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     if not wrong.isEmpty():
         bundles = components(wrong, scratch).select(F.col("node").alias("comp"), F.col("component").alias("key"))
         members = scratch.save(labelled("rep", "sketch").join(bundles, "comp"))
-        sets = _texts_of(docs, members.select(F.col("rep").alias("id"))).mapInArrow(_sets, "rep long, node long, shingles array<long>").dropDuplicates(["rep", "node"])
+        sets = _texts_of(docs, members.select(F.col("rep").alias("id")), _sets, "rep long, node long, shingles array<long>").dropDuplicates(["rep", "node"])
         payload = members.select("node", "rep", "sketch").join(sets, ["rep", "node"]).select("node", "sketch", "shingles")
         pairs = _dealt(members.select("key", "comp", "node", "n"), payload, True)
         reps = nodes.select("node", "rep")
