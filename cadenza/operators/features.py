@@ -42,22 +42,22 @@ def spectrum(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def power_spectrum(df: DataFrame, keys: list[str], order: str, value: str, fs: float, points: int) -> DataFrame:
-    """keys, k, freq, power of each series' first ``points`` values: a Fourier sum as a join with its cosines and sines.
+    """keys, w, k, freq, power of every stretch w of ``points`` values of each series: a Fourier sum as a join with its cosines and sines.
 
-    Series with fewer values are left out. The join multiplies a series' rows
-    by half its length, which pays for short fixed lengths only; whole series
-    of any length go through ``spectral_features``.
+    Only whole stretches count. The join multiplies a series' rows by half a
+    stretch's length, which pays for short fixed lengths only; a whole series
+    as one spectrum goes through ``spectral_features``.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    v = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") < points)
-    every = Window.partitionBy(*keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    v = df.where(F.col(value).isNotNull()).withColumn("_i", place).withColumn("w", F.floor(F.col("_i") / points)).withColumn("_i", F.col("_i") % points)
+    every = Window.partitionBy(*keys, "w")
     v = v.withColumn("_n", F.count("*").over(every)).where(F.col("_n") == points)
     hann = 0.5 - 0.5 * F.cos(2 * np.pi * F.col("_i") / (points - 1))
     v = v.withColumn("_y", (F.col(value) - F.avg(value).over(every)) * hann)
     v = v.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(points // 2))))
     turn = 2 * np.pi * F.col("k") * F.col("_i") / points
     p = F.pow(F.sum(F.col("_y") * F.cos(turn)), 2) + F.pow(F.sum(F.col("_y") * F.sin(turn)), 2)
-    return v.groupBy(*keys, "k").agg(p.alias("power")).withColumn("freq", F.col("k") * fs / points)
+    return v.groupBy(*keys, "w", "k").agg(p.alias("power")).withColumn("freq", F.col("k") * fs / points)
 
 
 def spectrum_statistics(power: DataFrame, keys: list[str], low: tuple = (0.25, 1.5), high: tuple = (1.5, 6.0)) -> DataFrame:

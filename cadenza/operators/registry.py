@@ -39,9 +39,17 @@ def unpivot(wide: DataFrame, key: list[str], features: list[str]) -> DataFrame:
     return wide.unpivot(key, features, "feature", "value").where("value IS NOT NULL")
 
 
-def history(weights: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The weights of all snapshots with their time and place, in order."""
-    return weights.join(snapshots, "snapshot").withColumn("place", F.row_number().over(Window.orderBy("created", "snapshot", "rank")).cast("long"))
+def history(weights: DataFrame, snapshots: DataFrame, span: int = 86_400_000_000) -> DataFrame:
+    """The weights of all snapshots with their time (``created``, a number) and place, in order.
+
+    Rows are numbered within spans of time, a day of microseconds each; only
+    the spans' counts are summed up over all.
+    """
+    rows = weights.join(snapshots, "snapshot").withColumn("_span", F.floor(F.col("created") / span))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = rows.groupBy("_span").agg(F.count("*").alias("n")).select("_span", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_span").orderBy("created", "snapshot", "rank"))
+    return rows.join(spans, F.col("_span").eqNullSafe(spans["_span"])).drop(spans["_span"]).withColumn("place", F.col("_before") + own).drop("_span", "_before")
 
 
 def violations(table: DataFrame, key: list[str], parent: DataFrame | None = None, foreign: str | None = None, parent_key: str | None = None, check: str = "true") -> DataFrame:

@@ -134,8 +134,7 @@ def feedback_moments(spark, sf_dir):
 
 
 def key_moments(spark, sf_dir):
-    n = norm(spark, sf_dir).where("track < 4")
-    k = coaching.key_moments(n, 5, 0.05, 0.2)
+    k = coaching.key_moments(norm(spark, sf_dir), 5, 0.05, 0.2)
     return rounded(k.select("rank", "a", "b", "start", "end", "peak", "mean", "region", "joint"), "start", "end", "peak", "mean")
 
 

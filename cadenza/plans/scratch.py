@@ -1,8 +1,9 @@
 """Intermediate tables in the shared checkpoint folder.
 
 Iterative operators cut their lineage by writing a table and reading it back.
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a folder of our own is chosen.
+The folder is the session's ``spark.checkpoint.dir``. Only in local mode (tests,
+a laptop), where one machine does all, a folder of our own is chosen if it is
+unset; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read; set to a temporary one if the session names none."""
+    """The folder every executor can read."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="cadenza-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -173,13 +173,13 @@ def time_features(spark, sf_dir):
 
 
 def power_spectrum(spark, sf_dir):
-    return rounded(features.power_spectrum(bridge.signal(spark, sf_dir), TRACK, "i", "value", 30.0, 32).select("track", "k", "freq", "power"), "freq", "power", digits=3)
+    return rounded(features.power_spectrum(bridge.signal(spark, sf_dir), TRACK, "i", "value", 30.0, 32).select("track", "w", "k", "freq", "power"), "freq", "power", digits=3)
 
 
 def spectral_statistics(spark, sf_dir):
     p = features.power_spectrum(bridge.signal(spark, sf_dir), TRACK, "i", "value", 30.0, 32)
-    s = features.spectrum_statistics(p, TRACK)
-    return rounded(s, *[c for c in s.columns if c != "track"], digits=5)
+    s = features.spectrum_statistics(p, [*TRACK, "w"])
+    return rounded(s, *[c for c in s.columns if c not in ("track", "w")], digits=5)
 
 
 def spectral_features(spark, sf_dir):
@@ -279,7 +279,7 @@ def unpivot_values(spark, sf_dir):
 
 
 def weight_history(spark, sf_dir):
-    o = bridge.table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    o = bridge.table(spark, sf_dir, "orders")
     snaps = o.select(F.col("o_orderkey").alias("snapshot"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created"))
     w = bridge.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("snapshot"), F.col("l_linenumber").cast("long").alias("rank")).agg(F.sum("l_quantity").alias("weight"))
     return registry.history(w, snaps)
@@ -343,9 +343,9 @@ _BASE = """SELECT run, frame, dense_rank() OVER (PARTITION BY run ORDER BY perso
 _DENSE = "CASE WHEN p IS NOT NULL THEN dense_rank() OVER (PARTITION BY run ORDER BY p NULLS LAST) - 1 END"
 _POWER = {
     "v": "SELECT track, value, row_number() OVER (PARTITION BY track ORDER BY i) - 1 AS i FROM signal WHERE value IS NOT NULL",
-    "u": "SELECT *, avg(value) OVER (PARTITION BY track) AS m, count(*) OVER (PARTITION BY track) AS n FROM v WHERE i < 32",
-    "y": f"SELECT track, i, (value - m) * (0.5 - 0.5 * cos(2 * {math.pi} * i / 31)) AS y FROM u WHERE n = 32",
-    "ps": f"SELECT track, CAST(k AS INTEGER) AS k, CAST(k AS DOUBLE) * 30.0 / 32 AS freq, power(sum(y * cos(2 * {math.pi} * k * i / 32)), 2) + power(sum(y * sin(2 * {math.pi} * k * i / 32)), 2) AS power FROM y, (SELECT unnest(range(1, 17)) AS k) GROUP BY track, k",
+    "u": "SELECT track, value, i // 32 AS w, i % 32 AS i, avg(value) OVER (PARTITION BY track, i // 32) AS m, count(*) OVER (PARTITION BY track, i // 32) AS n FROM v",
+    "y": f"SELECT track, w, i, (value - m) * (0.5 - 0.5 * cos(2 * {math.pi} * i / 31)) AS y FROM u WHERE n = 32",
+    "ps": f"SELECT track, w, CAST(k AS INTEGER) AS k, CAST(k AS DOUBLE) * 30.0 / 32 AS freq, power(sum(y * cos(2 * {math.pi} * k * i / 32)), 2) + power(sum(y * sin(2 * {math.pi} * k * i / 32)), 2) AS power FROM y, (SELECT unnest(range(1, 17)) AS k) GROUP BY track, w, k",
 }
 _GRAM = [("k", "k"), ("k", "toxic"), ("k", "label"), ("k", "o"), ("toxic", "toxic"), ("toxic", "label"), ("toxic", "o"), ("label", "label"), ("label", "o"), ("o", "o")]
 _AT = {"k": 0, "toxic": 1, "label": 2, "o": 3}
@@ -427,14 +427,14 @@ ORACLE_SQL = {
         FROM (SELECT *, lag(d) OVER (PARTITION BY track ORDER BY i) AS l FROM v) GROUP BY track""",
         v="SELECT track, i, value, row_number() OVER (PARTITION BY track ORDER BY i) - 1 AS k, value - avg(value) OVER (PARTITION BY track) AS d FROM signal WHERE value IS NOT NULL",
     ),
-    "power_spectrum": with_views("signal", "SELECT track, k, round(freq, 3) AS freq, round(power, 3) AS power FROM ps", **_POWER),
+    "power_spectrum": with_views("signal", "SELECT track, w, k, round(freq, 3) AS freq, round(power, 3) AS power FROM ps", **_POWER),
     "spectral_statistics": with_views(
         "signal",
-        """SELECT track, round(arg_max(freq, power), 5) AS dominant_hz, round(max(c), 5) AS centroid_hz, round(sqrt(sum(power(freq - c, 2) * p)), 5) AS bandwidth_hz, round(-sum(p * ln(p + 1e-12)) / ln(count(*)), 5) AS entropy,
+        """SELECT track, w, round(arg_max(freq, power), 5) AS dominant_hz, round(max(c), 5) AS centroid_hz, round(sqrt(sum(power(freq - c, 2) * p)), 5) AS bandwidth_hz, round(-sum(p * ln(p + 1e-12)) / ln(count(*)), 5) AS entropy,
         round(exp(avg(ln(power + 1e-12))) / avg(power), 5) AS flatness, round(coalesce(sum(p) FILTER (freq >= 0.25 AND freq < 1.5), 0), 5) AS low_band_ratio, round(coalesce(sum(p) FILTER (freq >= 1.5 AND freq <= 6), 0), 5) AS high_band_ratio
-        FROM (SELECT *, sum(freq * p) OVER (PARTITION BY track) AS c FROM q) GROUP BY track""",
+        FROM (SELECT *, sum(freq * p) OVER (PARTITION BY track, w) AS c FROM q) GROUP BY track, w""",
         **_POWER,
-        q="SELECT *, power / sum(power) OVER (PARTITION BY track) AS p FROM ps",
+        q="SELECT *, power / sum(power) OVER (PARTITION BY track, w) AS p FROM ps",
     ),
     "stft_energy": with_views(
         "signal",
@@ -481,7 +481,7 @@ ORACLE_SQL = {
     "insert_absent": with_views("reviews", "SELECT track, CASE WHEN toxic = 1 THEN 'old' ELSE 'new' END AS origin FROM reviews"),
     "unpivot_values": with_views("reviews", "SELECT run, track, 'n_chars' AS feature, CAST(n_chars AS DOUBLE) AS value FROM reviews UNION ALL SELECT run, track, 'toxic', 1.0::DOUBLE FROM reviews WHERE toxic = 1"),
     "weight_history": """SELECT snapshot, created, rank, weight, row_number() OVER (ORDER BY created, snapshot, rank) AS place FROM (
-        SELECT l_orderkey AS snapshot, epoch_us(o_orderdate) AS created, CAST(l_linenumber AS BIGINT) AS rank, sum(l_quantity) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey < 2000 GROUP BY ALL)""",
+        SELECT l_orderkey AS snapshot, epoch_us(o_orderdate) AS created, CAST(l_linenumber AS BIGINT) AS rank, sum(l_quantity) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)""",
     "registry_integrity": """SELECT 'primary key' AS rule, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
         UNION ALL SELECT 'check', count(*) FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 0.08)
         UNION ALL SELECT 'foreign key', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)""",

@@ -79,7 +79,8 @@ def write_records(dets: DataFrame, path: str) -> None:
     """Detections back as records, one JSON line a frame, people in order of det."""
     names = F.array(*[F.lit(j) for j in JOINTS])
     there = F.filter(F.arrays_zip(names.alias("n"), F.col("joints").alias("j")), lambda z: z["j"]["x"].isNotNull())
-    points = F.map_from_entries(F.transform(there, lambda z: F.struct(z["n"], F.array(z["j"]["x"], z["j"]["y"], z["j"]["c"]))))
-    person = F.struct("det", F.struct("id", "bbox", "conf", points.alias("keypoints")).alias("p"))
+    points = F.transform(there, lambda z: F.struct(z["n"].alias("n"), F.array(z["j"]["x"], z["j"]["y"], z["j"]["c"]).alias("p")))
+    person = F.struct("det", "id", "bbox", "conf", points.alias("points"))  # maps can't be sorted, so they are made afterwards
     frames = dets.groupBy("run", "frame").agg(F.max("t").alias("t"), F.array_sort(F.collect_list(person)).alias("ps"))
-    frames.select("run", "frame", "t", F.col("ps.p").alias("people")).write.partitionBy("run").json(path)
+    people = F.transform("ps", lambda p: F.struct(p["id"].alias("id"), p["bbox"].alias("bbox"), p["conf"].alias("conf"), F.map_from_entries(p["points"]).alias("keypoints")))
+    frames.select("run", "frame", "t", people.alias("people")).write.partitionBy("run").json(path)

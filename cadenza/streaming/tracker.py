@@ -15,12 +15,13 @@ from cadenza.operators.tracking import Tracker
 OUT = "run string, frame long, det long, tracklet long"
 
 
-def track_stream(detections: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def track_stream(detections: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """run, frame, det, tracklet of a stream of (run, frame, det, joints array<double>).
 
     A run's state is its live tracks, as JSON; tracks that can't be matched
-    any more are dropped at every frame, and a run that is idle for
-    ``idle_ms`` is forgotten. A frame's bodies must arrive in one micro-batch
+    any more are dropped at every frame, and with ``idle_ms`` a run that is
+    idle for so long is forgotten; such a query has batches without data for
+    ever, so it must be stopped and never ends by itself. A frame's bodies must arrive in one micro-batch
     and a run's frames in order over micro-batches, as files written once a
     stretch of frames give them; within one they are sorted.
     """
@@ -36,7 +37,8 @@ def track_stream(detections: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             ids = t.step(int(frame), [np.asarray(j, float).reshape(17, 3) for j in g.joints])
             rows += [(key[0], int(frame), int(d), i) for d, i in zip(g.det, ids, strict=True)]
         state.update((json.dumps({"tracks": t.tracks, "next": t.next_id}),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["run", "frame", "det", "tracklet"])
 
-    return detections.groupBy("run").applyInPandasWithState(run, OUT, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return detections.groupBy("run").applyInPandasWithState(run, OUT, "saved string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

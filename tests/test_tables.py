@@ -173,8 +173,10 @@ def test_streamed_tracker_is_the_batch_tracker(spark, tmp_path):
     for k in range(3):
         b.selectExpr("CAST(run AS STRING) AS run", "frame", "det", "joints").where(f"frame BETWEEN {10 * k} AND {10 * k + 9}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("run string, frame long, det long, joints array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = track_stream(stream).writeStream.outputMode("append").format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = track_stream(stream).writeStream.outputMode("append").format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120), q.lastProgress
+    finally:
+        q.stop()
     got = {(r["frame"], r["det"]): r["tracklet"] for r in spark.table("tracked").collect()}
     assert got == want
