@@ -20,18 +20,19 @@ TURNS = "array<struct<role: string, content: string>>"
 #: The JSON reader's own limit on a text would lose longer ones.
 LONG = {"maxStringLen": str((1 << 31) - 1)}
 
+#: Names that layouts with roles of their own use for the canonical ones; elsewhere roles stay as they are.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
 #: Layouts, each as an example record and as the way to its turns: the field with an array of messages and the names of
 #: role and content there, or a list of (role, names) for fields that are one turn each. An empty field is no turn.
 LAYOUTS: list[dict] = [
     {"example": {"messages": [{"content": "", "role": ""}]}, "messages": ("messages", "role", "content")},
-    {"example": {"conversations": [{"from": "", "value": ""}]}, "messages": ("conversations", "from", "value")},
+    {"example": {"conversations": [{"from": "", "value": ""}]}, "messages": ("conversations", "from", "value"), "roles": ROLES},
     {"example": {"instruction": "", "output": ""}, "fields": [("user", ["instruction"]), ("assistant", ["output"])]},
     {"example": {"input": "", "instruction": "", "output": ""}, "fields": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
     {"example": {"completion": "", "prompt": ""}, "fields": [("user", ["prompt"]), ("assistant", ["completion"])]},
     {"example": {"question": "", "answer": "", "system": ""}, "fields": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])]},
 ]
-#: Names that layouts use for the canonical roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def fingerprint(record: Column) -> Column:
@@ -77,9 +78,9 @@ def _variants(layout: dict) -> list[dict]:
 
 
 def _turns(layout: dict, record: str) -> Column:
-    alias = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     if "messages" in layout:
         name, role, content = layout["messages"]
+        alias = F.map_from_entries(F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in layout.get("roles", {"": ""}).items()]))
         return F.transform(
             F.from_json(record, f"`{name}` array<struct<`{role}`: string, `{content}`: string>>", LONG)[name],
             lambda m: F.struct(

@@ -83,18 +83,23 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> DataFra
     return counted.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
+#: What every task holds is a table of so many labels at most, some 130 MB; the world's written languages are fewer.
+MOST_LABELS = 512
+
+
 def _tables(model: DataFrame, most_labels: int) -> tuple[list[str], np.ndarray]:
     """The labels in order and log likelihoods, bucket by label. Their size is bounded by the buckets and the number of labels."""
     rows = model.limit(BUCKETS * most_labels + 1).toPandas()
-    if len(rows) > BUCKETS * most_labels:
-        raise ValueError(f"more than {most_labels} labels")
     labels = sorted(rows.label.unique())
+    if len(labels) > most_labels or len(rows) > BUCKETS * most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     c = np.zeros((BUCKETS, max(1, len(labels))))
     for k, name in enumerate(labels):
         own = rows[rows.label == name]
         c[own.bucket.to_numpy(), k] = own.n.to_numpy()
-    p = (c + 0.05) / (c + 0.05).sum(0)
-    return labels, np.log(p)
+    c += 0.05
+    c /= c.sum(0)
+    return labels, np.log(c, out=c)
 
 
 def _mixture(like: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -171,7 +176,7 @@ def judge(texts: pa.Array, labels: list[str], logs: np.ndarray) -> tuple[list[st
     return names, scores, sets
 
 
-def predict(docs: DataFrame, model: DataFrame, most_labels: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: DataFrame, most_labels: int = MOST_LABELS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, lang_pred, score, languages for every row; what they mean, ``judge`` says."""
     labels, logs = _tables(model, most_labels)
     keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
@@ -186,7 +191,7 @@ def predict(docs: DataFrame, model: DataFrame, most_labels: int = 64, keep: tupl
     return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, out_type)
 
 
-def keep_known(docs: DataFrame, model: DataFrame, least: float = 0.5, most_labels: int = 64) -> DataFrame:
+def keep_known(docs: DataFrame, model: DataFrame, least: float = 0.5, most_labels: int = MOST_LABELS) -> DataFrame:
     """The rows, with all their columns, whose language is known: not ``und``, and with at least this score."""
     labels, logs = _tables(model, most_labels)
     shared = docs.sparkSession.sparkContext.broadcast(logs)

@@ -27,7 +27,8 @@ PAGE = 256
 FANOUT = 32
 #: Vectors of a cell and queries of a block, about. With both fixed, a task's memory is too.
 CELL_ROWS, BLOCK_ROWS = 8192, 1024
-SLACK = 1e-6
+#: Distances are doubles: their squares are off by less than this part of the norms.
+SLACK = 1e-9
 
 PAGES = "cell int, dim int, page int, leaf boolean, ids array<long>, vectors array<double>, radii array<double>, parents array<double>, norm double"
 _PAGES = pa.schema([("cell", pa.int32()), ("dim", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), ("ids", pa.list_(pa.int64())), ("vectors", pa.list_(pa.float64())), ("radii", pa.list_(pa.float64())), ("parents", pa.list_(pa.float64())), ("norm", pa.float64())])
@@ -90,11 +91,14 @@ def search(pages: list[dict], q: np.ndarray, own: np.ndarray, k: int, counts: di
         return score, found
     norm, q2 = pages[0]["norm"], (q * q).sum(1)
     to = np.column_stack([q, np.zeros(len(q))])
+    if max(norm, q2.max()) >= 2.0**61:
+        raise OverflowError("inner products of these vectors may not fit 62 bits")
+    whole = q.astype(np.int64)
 
     def reach(rows: np.ndarray) -> np.ndarray:
         """For each query the distance beyond which nothing counts."""
         worst = score[rows, -1]
-        return np.where(worst == -(1 << 62), np.inf, np.sqrt(np.maximum(0.0, q2[rows] + norm - 2.0 * worst)) + SLACK)
+        return np.where(worst == -(1 << 62), np.inf, np.sqrt(np.maximum(0.0, q2[rows] + norm - 2.0 * worst + SLACK * (q2[rows] + norm))) + SLACK)
 
     order = itertools.count()
     waiting = [(0.0, next(order), 0, np.arange(len(q)), None, None)]
@@ -119,8 +123,14 @@ def search(pages: list[dict], q: np.ndarray, own: np.ndarray, k: int, counts: di
             continue
         ids, vectors, needed = p["ids"][entries], p["vectors"][entries], needed[:, entries]
         if p["leaf"]:
-            new = np.rint(q[rows] @ vectors[:, :-1].T).astype(np.int64)
-            new[~needed | (ids[None] == own[rows][:, None])] = -(1 << 62)
+            # A product of doubles is off by less than ``off``; those that may count are computed again in integers.
+            near = q[rows] @ vectors[:, :-1].T
+            off = np.sqrt(q2[rows] * norm) * (len(vectors[0]) * 2.0**-50)
+            i, j = np.nonzero(needed & (ids[None] != own[rows][:, None]) & (near >= (score[rows, -1] - off)[:, None]))
+            new = np.full(near.shape, -(1 << 62))
+            for lo in range(0, len(i), 1 << 16):
+                a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                new[a, b] = (whole[rows[a]] * vectors[b, :-1].astype(np.int64)).sum(1)
             better = ((new > score[rows, -1:]) | ((new == score[rows, -1:]) & (ids[None] < found[rows, -1:]))).any(1)
             if better.any():
                 r = rows[better]

@@ -53,6 +53,13 @@ def test_layouts_map_to_the_same_turns(spark):
     assert all([tuple(t) for t in r.turns] == [("user", "q"), ("assistant", "a")] for r in got)
 
 
+def test_roles_of_canonical_messages_stay(spark):
+    said = [{"role": r, "content": "x"} for r in ("human", "gpt", "model", "")]
+    df = spark.createDataFrame([(json.dumps({"messages": said}),)], "record string")
+    got = chat.render(chat.parse(df)).first()
+    assert [t.role for t in got.turns] == ["human", "gpt", "model", ""] and not got.loss_spans
+
+
 def test_what_is_no_known_record(spark):
     records = [None, "", "no json", "[1]", '{"other": 1}', '{"messages": []}', '{"messages": [{"role": "user", "content": null}]}']
     df = spark.createDataFrame([(k, r, "x") for k, r in enumerate(records)], "k int, record string, layout string")

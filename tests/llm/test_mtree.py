@@ -76,6 +76,24 @@ def test_trees_hold_all_rows_within_their_radii(size):
     assert sorted(below(0, None, None)) == list(range(600))
 
 
+@pytest.mark.parametrize("scale", [1, 1e4, 1e6, 3e6])
+def test_large_components_are_exact(scale):
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(1500, 16)) * 64 * scale)
+    whole = x.astype(np.int64)
+    score, ids = mtree.search(mtree.build(np.arange(1500), x), x[:20], np.arange(20), 10)
+    for q in range(20):
+        s = (whole * whole[q]).sum(1)
+        order = [c for c in np.lexsort((np.arange(1500), -s)) if c != q][:10]
+        assert ids[q].tolist() == order and score[q].tolist() == s[order].tolist()
+
+
+def test_products_beyond_a_long_are_an_error():
+    x = np.full((3, 4), 2.0**31)
+    with pytest.raises(OverflowError):
+        mtree.search(mtree.build(np.arange(3), x), x[:1], np.arange(1), 2)
+
+
 def test_stored_distances_spare_computations():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16)) * 300
