@@ -4,7 +4,9 @@ The distinct segments of a batch are laid end to end and their suffixes
 sorted by as many characters as the longest piece has. A binary search of
 every piece finds the range of suffixes that begin with it; these are the
 edges of all segments' lattices. Sorted by where they end, the edges are
-relaxed: each place keeps the last piece of the best encoding up to it.
+relaxed: each place keeps the last piece of the best encoding up to it. A
+segment is cut where no piece crosses a place, so that text without spaces has
+many short stretches, which are relaxed side by side.
 
 The model is of the merging kind, where the best encoding is the one its
 merges end in. An encoding is that one if and only if each two neighbours in
@@ -152,14 +154,17 @@ class Codec:
         at, edge_end = np.concatenate([at, odd]), np.concatenate([edge_end, odd + 1])
         edge_id = np.concatenate([edge_id, np.full(len(odd), -1)])
 
-        of = np.repeat(begin, size + 1)
+        # Merges never cross a place inside of no piece, so the stretches between such places are encoded by themselves.
+        crossed = np.cumsum(np.bincount(at + 1, minlength=len(code) + 2) - np.bincount(edge_end, minlength=len(code) + 2))[: len(code)] > 0
+        crossed[begin] = False
+        of = np.maximum.accumulate(np.where(crossed, 0, np.arange(len(code))))
         far = edge_end - of[at]
         by = np.lexsort((at, far))
         at, edge_end, edge_id, far = at[by], edge_end[by], edge_id[by], far[by]
         last = np.full(len(code) + 1, -2)  # -2: not reached; -1: the start, or a character of no piece
         start = np.full(len(code) + 1, -1, np.int64)
-        last[begin] = -1
-        cut = np.searchsorted(far, np.arange(1, (int(size.max()) if len(size) else 0) + 2))
+        last[:-1][~crossed] = -1  # for the edges from there; the stretch before puts its last piece in its place
+        cut = np.searchsorted(far, np.arange(1, (int(far[-1]) if len(far) else 0) + 2))
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             s, e, i = at[lo:hi], edge_end[lo:hi], edge_id[lo:hi]
             # A place whose last piece is -1 and that is a segment's end can't occur here: ends are reached, not left.
@@ -175,6 +180,8 @@ class Codec:
         rows, ends, ids = [], [], []
         while len(live):
             p = now[live]
+            if (start[p] < 0).any():
+                raise ValueError("a segment has no encoding")
             rows.append(live)
             ends.append(p)
             ids.append(last[p])
@@ -183,8 +190,6 @@ class Codec:
         if not rows:
             return [np.zeros(0, np.uint16) for _ in words]
         row, end, ids = np.concatenate(rows), np.concatenate(ends), np.concatenate(ids)
-        if (ids == -2).any():
-            raise ValueError("a segment has no encoding")
         by = np.argsort(end, kind="stable")
         row, end, ids = row[by], end[by], ids[by]
         if (ids == -1).any():

@@ -47,6 +47,14 @@ def test_random_texts(sp, codec):
     assert split(ids, n) == [sp.encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("alphabet", ["我们今天去公园散步的是一不了人在有国中大上地为子年日本語", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"])
+def test_long_texts_without_spaces(sp, codec, alphabet):
+    rng = random.Random(8)
+    text = "".join(rng.choice(alphabet) for _ in range(60_000))
+    ids, n = codec.encode(pa.array([text], pa.string()))
+    assert ids.tolist() == sp.encode(text)
+
+
 def test_query(spark, sp):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     rows = pieces.op6_pieces(spark, SF).collect()
