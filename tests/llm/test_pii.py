@@ -72,6 +72,13 @@ def test_added_kinds_need_a_checksum_or_a_word_nearby():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB83WEST12345698765432")
 
 
+def test_context_is_of_whole_words():
+    assert pii.score("ip", "a ship at ", 10) == pii.PRIOR["ip"] and pii.score("phone", "the hotel ", 10) == pii.PRIOR["phone"]
+    assert pii.score("ip", "the IPs: ", 9) > pii.PRIOR["ip"] > pii.score("ip", "version ", 8)
+    assert pii.find("insecurity of 123-45-6789") == [] and pii.find("ssn 000-00-0000") == []
+    assert [k for *_, k, _s in pii.find("ssn 123-45-6789")] == ["ssn"]
+
+
 def test_context_raises_the_score():
     (_, _, _, plain), = pii.find("see 10.0.0.1")
     (_, _, _, near), = pii.find("the server address 10.0.0.1")
