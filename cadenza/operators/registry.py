@@ -47,9 +47,9 @@ def history(weights: DataFrame, snapshots: DataFrame, span: int = 86_400_000_000
     """
     rows = weights.join(snapshots, "snapshot").withColumn("_span", F.floor(F.col("created") / span))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = rows.groupBy("_span").agg(F.count("*").alias("n")).select("_span", before.alias("_before"))
+    spans = rows.groupBy("_span").agg(F.count("*").alias("n")).select(F.col("_span").alias("_of"), before.alias("_before"))
     own = F.row_number().over(Window.partitionBy("_span").orderBy("created", "snapshot", "rank"))
-    return rows.join(spans, F.col("_span").eqNullSafe(spans["_span"])).drop(spans["_span"]).withColumn("place", F.col("_before") + own).drop("_span", "_before")
+    return rows.join(spans, F.col("_span").eqNullSafe(F.col("_of"))).withColumn("place", F.col("_before") + own).drop("_span", "_of", "_before")
 
 
 def violations(table: DataFrame, key: list[str], parent: DataFrame | None = None, foreign: str | None = None, parent_key: str | None = None, check: str = "true") -> DataFrame:
