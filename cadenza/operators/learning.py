@@ -69,7 +69,8 @@ def folds(counts: DataFrame, run: str, n: str, most: int = FOLDS) -> DataFrame:
 def fit_sparse(df: DataFrame, features: list[str], label: str, run: str) -> dict:
     """A linear scorer of at most five features: alpha by grouped cross-validation, then refitted on the five largest coefficients.
 
-    Medians and scales are those of all rows; folds differ by whole runs.
+    Folds differ by whole runs, and each has the medians and scales of its own
+    training rows; the refitted model has those of all rows.
     Returns status, and with ``trained`` alpha, features, coefficients, bias,
     medians, mean and std.
     """
@@ -83,13 +84,25 @@ def fit_sparse(df: DataFrame, features: list[str], label: str, run: str) -> dict
     mean = np.array([scale[f"a_{f}"] for f in use])
     std = np.array([scale[f"s_{f}"] if scale[f"s_{f}"] > 1e-12 else 1.0 for f in use])
     z = filled.select(run, label, *[((F.col(f) - float(m)) / float(s)).alias(f) for f, m, s in zip(use, mean, std, strict=True)])
-    fold = folds(z.groupBy(run).agg(F.count("*").alias("n")), run, "n")
     k = len(use)
-    parts: dict[int, np.ndarray] = {}
-    for r in gram(z.join(F.broadcast(fold), run), use, label, ["fold"]).collect():
-        m = parts.setdefault(r["fold"], np.zeros((k + 2, k + 2)))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"]
-    total = sum(parts.values())
+
+    def squares(rows: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
+        out: dict[tuple, np.ndarray] = {}
+        for r in gram(rows, use, label, by).collect():
+            m = out.setdefault(tuple(r[c] for c in by), np.zeros((k + 2, k + 2)))
+            m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"]
+        return out
+
+    total = squares(z, [])[()]
+    # Every row once for each fold that may be held out; medians and scales are those of the rows that are not.
+    fold = folds(df.groupBy(run).agg(F.count("*").alias("n")), run, "n")
+    dealt = df.select(run, label, *[F.col(f).cast("double").alias(f) for f in use]).join(fold, run)
+    dealt = dealt.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(min(FOLDS, stats["runs"]) - 1)))).withColumn("_held", F.col("_out") == F.col("fold"))
+    middle = dealt.where("NOT _held").groupBy("_out").agg(*[F.median(f).alias(f"_m_{f}") for f in use])
+    dealt = dealt.join(F.broadcast(middle), "_out").withColumns({f: F.coalesce(f, f"_m_{f}", F.lit(0.0)) for f in use})
+    spread = dealt.where("NOT _held").groupBy("_out").agg(*[x for f in use for x in (F.avg(f).alias(f"_a_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))])
+    dealt = dealt.join(F.broadcast(spread), "_out").withColumns({f: (F.col(f) - F.col(f"_a_{f}")) / F.when(F.col(f"_s_{f}") > 1e-12, F.col(f"_s_{f}")).otherwise(1.0) for f in use})
+    parts = squares(dealt, ["_out", "_held"])
 
     def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, mu = m[-1, -1], m[:-1, -1] / m[-1, -1]
@@ -102,8 +115,9 @@ def fit_sparse(df: DataFrame, features: list[str], label: str, run: str) -> dict
         if (np.abs(lasso(g, b, alpha)) > 1e-7).sum() < LEAST_NONZERO:
             continue
         errors = []
-        for part in parts.values():
-            tg, tb, tmu = centred(total - part)
+        for out in sorted({o for o, _ in parts}):
+            part = parts[out, True]
+            tg, tb, tmu = centred(parts[out, False])
             w = lasso(tg, tb, alpha)
             bias = tmu[-1] - w @ tmu[:-1]
             v = np.append(w, [-1.0, bias])

@@ -478,6 +478,13 @@ ORACLE_SQL = {
     "validation_status": """SELECT CASE WHEN quality IS NULL THEN 'Unreviewed' WHEN guess IS NULL THEN 'Reviewed without prediction' WHEN quality = guess THEN 'Validated correct' ELSE 'Corrected' END AS status, count(*) AS n
         FROM (SELECT l.quality, CASE WHEN d.doc_id % 5 <> 0 THEN CAST(n_chars > 1500 AS INTEGER) END AS guess FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1""",
     "upsert_latest": "SELECT user_id, event_type, event_id, epoch_us(ts) AS us, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "grouped_cv_folds": with_views(
+        "reviews",
+        "SELECT run, fold FROM walk WHERE r > 0",
+        o="SELECT run, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, run) AS r FROM reviews GROUP BY run",
+        walk="""SELECT 0::BIGINT AS r, [0::BIGINT FOR k IN range(least(5, (SELECT count(*) FROM o)))] AS sizes, NULL::VARCHAR AS run, NULL::BIGINT AS fold
+        UNION ALL SELECT o.r, [sizes[k] + CASE WHEN k = list_position(sizes, list_min(sizes)) THEN o.n ELSE 0 END FOR k IN range(1, len(sizes) + 1)], o.run, CAST(list_position(sizes, list_min(sizes)) - 1 AS BIGINT) FROM walk JOIN o ON o.r = walk.r + 1""",
+    ),
     "insert_absent": with_views("reviews", "SELECT track, CASE WHEN toxic = 1 THEN 'old' ELSE 'new' END AS origin FROM reviews"),
     "unpivot_values": with_views("reviews", "SELECT run, track, 'n_chars' AS feature, CAST(n_chars AS DOUBLE) AS value FROM reviews UNION ALL SELECT run, track, 'toxic', 1.0::DOUBLE FROM reviews WHERE toxic = 1"),
     "weight_history": """SELECT snapshot, created, rank, weight, row_number() OVER (ORDER BY created, snapshot, rank) AS place FROM (
