@@ -412,11 +412,11 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     hubs = groups.where("salt >= 0").select("key", "hub").distinct()
     tied = tied.union(hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("a")), "key").where("a <> hub").select("a", F.col("hub").alias("b")))
     first = scratch.save(tied.distinct())
-    held = scratch.save(_linked(first, nodes, docs))
+    linked = scratch.save(_linked(first, nodes, docs))
     # A doc_id with several texts ties their sets together.
     same = info.where("n > 0 AND id IS NOT NULL").join(nodes.select(F.col("node").alias("h1"), "h2", "rep"), ["h1", "h2"])
     same = same.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    held = held.union(same.select(F.col("id").alias("a"), F.col("lo").alias("b"))).union(same.select(F.col("id").alias("a"), F.col("hi").alias("b")))
+    held = linked.union(same.select(F.col("id").alias("a"), F.col("lo").alias("b"))).union(same.select(F.col("id").alias("a"), F.col("hi").alias("b")))
     comps = scratch.save(components(held, scratch))
 
     def labelled(*more: str) -> DataFrame:
@@ -424,7 +424,12 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         return nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("comp"), "n", *more)
 
     def merged(links: DataFrame) -> DataFrame:
-        return comps if links.isEmpty() else scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), scratch))
+        if links.isEmpty():
+            return comps
+        new = scratch.save(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), scratch))
+        for table in (links, comps):
+            scratch.drop(table)
+        return new
 
     across = scratch.save(_dealt(groups.select("key", "node").join(labelled(), "node"), nodes.select("node", "sketch"), False))
     scratch.drop(groups)
@@ -440,6 +445,9 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         reps = nodes.select("node", "rep")
         pairs = pairs.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
         comps = merged(scratch.save(pairs.select("ra", "rb")))
+        scratch.drop(members)
+    for table in (first, linked, across, wrong):
+        scratch.drop(table)
 
     reps = nodes.select(F.col("node").alias("h1"), "h2", "rep")
     out = info.select(F.col("id").alias("doc_id"), "n", "h1", "h2").join(reps, ["h1", "h2"], "left")
