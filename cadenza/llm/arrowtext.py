@@ -63,11 +63,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     give_back()
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word: a maximal run of bytes that are not separators."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word: a maximal run of bytes that are not separators (a table by byte)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start = inside.copy()
