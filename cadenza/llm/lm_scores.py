@@ -92,6 +92,10 @@ class _Chunk:
             self.index.append(index)
             self.grams.append((k, h, np.bincount(index, self.train, len(h)).astype(np.int64)))
 
+    def by_token(self, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Counts of the distinct n-grams as counts at each token."""
+        return [v[at] for v, at in zip(counts, self.index, strict=True)]
+
     def contexts(self, counts: list[np.ndarray], starts: np.ndarray | int) -> list[np.ndarray]:
         """How often the context of order 2, 3, ... was seen at each token; counts: at each token, of the n-gram of order 1, 2, ... that ends there."""
         return [np.where(self.back[1], np.concatenate([[0], counts[k - 1][:-1]]), starts) for k in range(1, self.order)]
@@ -196,8 +200,8 @@ def score(docs: DataFrame, held_out, order: int = 3, id: str = "doc_id", text: s
         c = left.to_pylist()[0]
         x = _Chunk(c, order)
         right = right.sort_by("range").to_pylist()
-        counts = [np.concatenate([unsqueeze(r["total"]) for r in right if r["range"] >> 32 == k + 1])[x.index[k]] if len(x.at) else np.zeros(0, np.int64) for k in range(order)]
-        cell, n = x.left(counts, starts, all_tokens, distinct)
+        counts = [np.concatenate([np.zeros(0, np.int64), *[unsqueeze(r["total"]) for r in right if r["range"] >> 32 == k]]) for k in range(1, order + 1)]
+        cell, n = x.left(x.by_token(counts), starts, all_tokens, distinct)
         out = left.append_column("counts", pa.array([[squeeze(v) for v in counts]], pa.list_(pa.binary()))).append_column("cell", pa.array([cell], pa.list_(pa.int64()))).append_column("cell_n", pa.array([n], pa.list_(pa.int64())))
         del x, counts
         give_back()
@@ -220,7 +224,7 @@ def score(docs: DataFrame, held_out, order: int = 3, id: str = "doc_id", text: s
             for k in range(batch.num_rows):
                 c = batch.slice(k, 1).to_pylist()[0]
                 x = _Chunk(c, order)
-                counts = [unsqueeze(b) for b in c["counts"]]
+                counts = x.by_token([unsqueeze(b) for b in c["counts"]])
                 seen = x.contexts(counts, starts)
                 base, ratios = x.estimates(counts, seen, all_tokens, distinct)
                 p = np.ones(len(base))

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from cadenza.llm.arrowtext import give_back, mix, text_bytes
 
 #: Bytes of text of a chunk, and n-grams that a range has of all chunks together. Cells are chunks times ranges: raise both with the square root of the corpus.
-CHUNK, RANGE = 8 << 20, 2_000_000
+CHUNK, RANGE = 4 << 20, 1_000_000
 #: Bits of the hash of one word, and of more than one.
-WORD_BITS, GRAM_BITS = 64, 56
+WORD_BITS, GRAM_BITS = 64, 53
+#: Values whose bits are packed at once, a multiple of eight.
+BLOCK = 1 << 14
 _FACTORS = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 
 CELL = "range long, chunk long, hashes binary, n binary"
@@ -43,19 +45,22 @@ def unsqueeze(blob: bytes) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Distinct sorted 64-bit values, at least one: the first, then differences in as few bytes as the largest needs."""
+    """Distinct sorted 64-bit values, at least one: the first, then differences in as few bits as the largest needs."""
     d = np.diff(values.astype("<u8"))
-    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + values[:1].astype("<u8").tobytes() + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width = max(1, int(d.max(initial=0)).bit_length())
+    body = [np.packbits(np.unpackbits(d[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width], bitorder="little") for k in range(0, len(d), BLOCK)]
+    return bytes([width]) + len(d).to_bytes(4, "little") + values[:1].astype("<u8").tobytes() + b"".join(x.tobytes() for x in body)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(body) + 1, 8), np.uint8)
-    out[1:, :width] = body
-    out = out.view("<u8").ravel()
-    out[0] = int.from_bytes(blob[1:9], "little")
+    width, n = blob[0], int.from_bytes(blob[1:5], "little")
+    body, out = np.frombuffer(blob, np.uint8, offset=13), np.empty(n + 1, "<u8")
+    out[0] = int.from_bytes(blob[5:13], "little")
+    for k in range(0, n, BLOCK):
+        rows = min(BLOCK, n - k)
+        bits = np.zeros((rows, 64), np.uint8)
+        bits[:, :width] = np.unpackbits(body[k * width // 8 :], count=rows * width, bitorder="little").reshape(rows, width)
+        out[k + 1 : k + 1 + rows] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return np.cumsum(out, dtype=np.uint64)
 
 
