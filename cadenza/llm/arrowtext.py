@@ -112,9 +112,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose sums are taken at once; the powers that a worker keeps are of so many.
+AT_ONCE = 1 << 18
+
+
 def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of the bytes, by content alone."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each stretch of the bytes, by content alone; the stretches must be in order."""
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        lo = int(start[k])
+        to = max(k + 1, int(np.searchsorted(end, lo + AT_ONCE, "right")))
+        body, s, e = data[lo : int(end[to - 1])], start[k:to] - lo, end[k:to] - lo
+        up, down = powers(len(body))
+        total = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], dtype=np.uint64, out=total[1:])
+        out[k:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        k = to
+    return out
