@@ -7,9 +7,11 @@ run: runs are the unit of parallelism, and a run's state is its live tracks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,38 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] and np.isfinite(cost[match[j] - 1, j - 1]))
 
 
+def frame_assignment(costs: DataFrame, keys: list[str], most: float = MAX_COST) -> DataFrame:
+    """keys, a, b, cost: of each group's pairs (keys, a, b, cost) the one-to-one set that makes most pairs, of these the cheapest.
+
+    keys: a run and a frame. Pairs over ``most`` and pairs of null cost are
+    never made; a pair that comes twice counts with its lower cost. Of equally
+    cheap sets one is taken, the same in every run. A group is the bodies of a
+    frame; many groups go through one Arrow batch.
+    """
+    kept = costs.where(F.col("cost") <= most).groupBy(*keys, "a", "b").agg(F.min("cost").alias("cost"))
+    grouped = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b", "cost"))).alias("pairs"))
+    kinds = ", ".join(f"{k} {costs.schema[k].dataType.simpleString()}" for k in keys)
+    kind = ", ".join([kinds, *[f"{c} {costs.schema[c].dataType.simpleString()}" for c in ("a", "b")], "cost double"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows = [], []
+            for i, pairs in enumerate(batch.column("pairs").to_pylist()):
+                left, right = (sorted({p[c] for p in pairs}) for c in "ab")
+                at, to = {v: k for k, v in enumerate(left)}, {v: k for k, v in enumerate(right)}
+                matrix = np.full((len(left), len(right)), np.inf)
+                for p in pairs:
+                    matrix[at[p["a"]], to[p["b"]]] = p["cost"]
+                for r, c in assign(matrix):
+                    of.append(i)
+                    rows.append((left[r], right[c], float(matrix[r, c])))
+            own = batch.select(keys).take(pa.array(of, pa.int64()))
+            new = [pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema.field("pairs").type.value_type.field("a").type, batch.schema.field("pairs").type.value_type.field("b").type, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *new], [*keys, "a", "b", "cost"])
+
+    return grouped.mapInArrow(solve, kind)
+
+
 class Tracker:
     """The live tracks of one run. ``step`` takes a frame's bodies (17 x 3 arrays, absent joints NaN) and gives each an id.
 
