@@ -78,7 +78,7 @@ def denormalize(norm: DataFrame, rotate: bool = False) -> DataFrame:
 
 
 def biomechanics(pose: DataFrame) -> DataFrame:
-    """Ten signals of each body; all but confidence need a strict scale, each the joints that it names. y points down."""
+    """Ten signals of each body; all but confidence need a strict scale, each the joints that it names. compactness: mean distance of the seen joints from the middle of the hips. y points down."""
     at = {j: (joint(j, "x"), joint(j, "y")) for j in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)}
     names = {j: (f"x{j}", f"y{j}") for j in at}
     sums = [v.alias(n) for j in at for v, n in zip(at[j], names[j], strict=True)]
@@ -98,10 +98,8 @@ def biomechanics(pose: DataFrame) -> DataFrame:
 
     heights = [(hy - y[9]) / s, (hy - y[10]) / s]
     chains = [(5, 9), (6, 10), (11, 15), (12, 16)]
-    mx = F.aggregate("_seen", F.lit(0.0), lambda a, p: a + p["x"]) / F.nullif(F.size("_seen"), F.lit(0))
-    my = F.aggregate("_seen", F.lit(0.0), lambda a, p: a + p["y"]) / F.nullif(F.size("_seen"), F.lit(0))
-    b = b.withColumn("_mx", mx).withColumn("_my", my)
-    spread = F.aggregate("_seen", F.lit(0.0), lambda a, p: a + F.sqrt(F.pow(p["x"] - F.col("_mx"), 2) + F.pow(p["y"] - F.col("_my"), 2)))
+    b = b.withColumn("_hx", hx).withColumn("_hy", hy)
+    spread = F.aggregate("_seen", F.lit(0.0), lambda a, p: a + F.sqrt(F.pow(p["x"] - F.col("_hx"), 2) + F.pow(p["y"] - F.col("_hy"), 2)))
     return b.select(
         *BODY,
         mean(*heights).alias("wrist_height"),

@@ -154,7 +154,7 @@ def motion_speed(spark, sf_dir):
 
 def frame_biomechanics(spark, sf_dir):
     b = geometry.biomechanics(bridge.pose(spark, sf_dir))
-    names = ["wrist_height", "wrist_asymmetry", "limb_extension", "body_x", "body_y", "step_width", "shoulder_tilt", "confidence"]
+    names = ["wrist_height", "wrist_asymmetry", "limb_extension", "limb_angle", "body_x", "body_y", "compactness", "step_width", "shoulder_tilt", "confidence"]
     return rounded(b.select("track", "frame", *names), *names)
 
 
@@ -321,11 +321,13 @@ ORACLE_SQL = {
         "pose",
         """SELECT track, frame, round(list_avg([(hy - y9) / s, (hy - y10) / s]), 6) + 0.0 AS wrist_height, round(abs((hy - y9) / s - (hy - y10) / s), 6) AS wrist_asymmetry,
         round(list_avg([sqrt(power(x5 - x9, 2) + power(y5 - y9, 2)) / s, sqrt(power(x6 - x10, 2) + power(y6 - y10, 2)) / s, sqrt(power(x11 - x15, 2) + power(y11 - y15, 2)) / s, sqrt(power(x12 - x16, 2) + power(y12 - y16, 2)) / s]), 6) AS limb_extension,
+        round(CASE WHEN s IS NOT NULL THEN list_avg([atan2(y9 - y5, x9 - x5), atan2(y10 - y6, x10 - x6), atan2(y15 - y11, x15 - x11), atan2(y16 - y12, x16 - x12)]) END, 6) + 0.0 AS limb_angle, round(compactness, 6) AS compactness,
         round(hx / s, 6) + 0.0 AS body_x, round(hy / s, 6) + 0.0 AS body_y, round(sqrt(power(x15 - x16, 2) + power(y15 - y16, 2)) / s, 6) AS step_width,
-        round(CASE WHEN s IS NOT NULL THEN abs(degrees(atan2(y6 - y5, x6 - x5))) END, 6) AS shoulder_tilt, round(confidence, 6) AS confidence FROM b""",
+        round(CASE WHEN s IS NOT NULL THEN abs(degrees(atan2(y6 - y5, x6 - x5))) END, 6) AS shoulder_tilt, round(confidence, 6) AS confidence FROM b LEFT JOIN near USING (track, frame)""",
         w=f"SELECT track, frame, avg(CASE WHEN px IS NOT NULL THEN c END) AS confidence, {_JOINTS_XY} FROM pose GROUP BY track, frame",
         h="SELECT *, (x11 + x12) / 2 AS hx, (y11 + y12) / 2 AS hy FROM w",
         b="SELECT *, nullif(sqrt(power((x5 + x6) / 2 - hx, 2) + power((y5 + y6) / 2 - hy, 2)), 0) AS s FROM h",
+        near="SELECT track, frame, avg(sqrt(power(px - hx, 2) + power(py - hy, 2)) / s) AS compactness FROM pose JOIN b USING (track, frame) GROUP BY track, frame",
     ),
     "context_features": with_views(
         "pose",

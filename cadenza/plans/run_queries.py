@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import authority, identity, inventory, stitching, tracking
 from cadenza.operators.snapshots import Store
-from cadenza.plans.motion_queries import rounded
+from cadenza.plans.motion_queries import _JOINTS_XY, rounded
 from cadenza.plans.oracle import with_views
 from cadenza.plans.scratch import shared_dir
 from cadenza.sources import bridge
@@ -24,7 +24,7 @@ def _identities(spark, sf_dir):
     turns = bridge.turns(spark, sf_dir).withColumn("det", F.lit(0).cast("long")).select("run", "frame", "det", "person", "size")
     persons = identity.one_each(identity.compact(turns))
     runs = persons.groupBy("run").agg(F.max("person").alias("top"), F.sum("size").alias("size"))
-    stamps = runs.select("run", stamp("run", "size").alias("stamp"))
+    stamps = runs.select("run", stamp(F.col("run"), F.col("size")).alias("stamp"))
     joins = runs.where("run % 3 = 0 AND top >= 1").select("run", F.expr("array(array(0L, 1L, 1L))").alias("groups"))
     frozen = authority.freeze(joins, stamps).withColumn("stamp", F.when(F.col("run") % 2 == 0, F.col("stamp")).otherwise("of another base"))
     steps = F.expr(
@@ -150,8 +150,53 @@ def _assignment_sql() -> str:
     )
 
 
+_CHAINS = ((5, 9), (6, 10), (11, 15), (12, 16))
+_RATE = "(SELECT 1 / median(d) FROM (SELECT t - lag(t) OVER (ORDER BY frame) AS d FROM (SELECT frame, max(t) AS t FROM pose GROUP BY frame)))"
+_FRAMES = "(SELECT count(DISTINCT frame) FROM pose)"
+
+
+def _long(names: str, prefix: str, kept: str) -> str:
+    """Columns of a row a track as rows (track, feature, value), nulls left out."""
+    return " UNION ALL ".join(f"SELECT track, '{prefix}{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM {kept} WHERE {n} IS NOT NULL" for n in names.split())
+
+
+_TIME_SHAPES = " UNION ALL ".join(
+    f"SELECT track, 'time_{signal}_{name}' AS feature, CAST({name} AS DOUBLE) AS value FROM shapes WHERE signal = '{signal}'" for signal, names in inventory.TIME.items() for name in names
+)
+_INVENTORY_SQL = with_views(
+    "pose",
+    f"""SELECT track, feature, round(value, 4) + 0.0 AS value FROM ({_TIME_SHAPES} UNION ALL {_long(" ".join(inventory.PHYSICAL), "physical_", "phys")} UNION ALL {_long(" ".join(inventory.CONTEXT), "context_", "ctx")}) WHERE isfinite(value)""",
+    l="SELECT *, CASE WHEN px IS NOT NULL AND lag(px) OVER w IS NOT NULL AND lag(frame) OVER w = frame - 1 THEN sqrt(power(px - lag(px) OVER w, 2) + power(py - lag(py) OVER w, 2)) END AS far FROM pose WINDOW w AS (PARTITION BY track, joint ORDER BY frame)",
+    m=f"""SELECT track, frame, max(t) AS t, avg(far) AS pose_motion, avg(far) FILTER (joint IN (9, 10)) AS wrist_speed, avg(far) FILTER (joint IN (7, 8, 13, 14)) AS limb_motion, avg(CASE WHEN px IS NOT NULL THEN c END) AS confidence,
+      max(py) - min(py) AS height, (max(px) + min(px)) / 2 AS bx, (max(py) + min(py)) / 2 AS bo, {_JOINTS_XY} FROM l GROUP BY track, frame""",
+    b="SELECT *, (x11 + x12) / 2 AS hx, (y11 + y12) / 2 AS hy, sqrt(power((x5 + x6 - x11 - x12) / 2, 2) + power((y5 + y6 - y11 - y12) / 2, 2)) AS torso, nullif(sqrt(power((x5 + x6) / 2 - (x11 + x12) / 2, 2) + power((y5 + y6) / 2 - (y11 + y12) / 2, 2)), 0) AS s FROM m",
+    near="SELECT track, frame, avg(sqrt(power(px - hx, 2) + power(py - hy, 2)) / s) AS compactness FROM pose JOIN b USING (track, frame) GROUP BY track, frame",
+    sp="SELECT *, CASE WHEN lag(frame) OVER f = frame - 1 THEN t - lag(t) OVER f END AS dt, (torso + lag(torso) OVER f) / 2 AS sc FROM b JOIN near USING (track, frame) WINDOW f AS (PARTITION BY track ORDER BY frame)",
+    u=" UNION ALL ".join(f"SELECT track, frame, '{n}' AS signal, {a} AS active, CASE WHEN dt > 0 AND sc > 0 THEN {n} / (dt * sc) END AS v FROM sp" for n, (_, a) in inventory.SPEEDS.items())
+    + f" UNION ALL SELECT track, frame, 'limb_angle', 0, CASE WHEN s IS NOT NULL THEN list_avg([{', '.join(f'atan2(y{c} - y{a}, x{c} - x{a})' for a, c in _CHAINS)}]) END FROM sp",
+    grid="SELECT k.track, f.frame, k.signal, k.active, u.v FROM (SELECT DISTINCT track, signal, active FROM u) k CROSS JOIN (SELECT DISTINCT frame FROM pose) f LEFT JOIN u ON u.track = k.track AND u.frame = f.frame AND u.signal = k.signal",
+    ends="""SELECT *, count(v) OVER (PARTITION BY track, signal) AS n, last_value(v IGNORE NULLS) OVER lo AS lv, last_value(CASE WHEN v IS NOT NULL THEN frame END IGNORE NULLS) OVER lo AS lf,
+      first_value(v IGNORE NULLS) OVER hi AS hv, first_value(CASE WHEN v IS NOT NULL THEN frame END IGNORE NULLS) OVER hi AS hf FROM grid
+      WINDOW lo AS (PARTITION BY track, signal ORDER BY frame), hi AS (PARTITION BY track, signal ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    whole="SELECT track, signal, active, frame, coalesce(v, lv + (hv - lv) * (frame - lf) / nullif(hf - lf, 0), lv, hv) AS v FROM ends WHERE n >= 4",
+    steps="SELECT *, v - avg(v) OVER (PARTITION BY track, signal) AS d, v - lag(v) OVER (PARTITION BY track, signal ORDER BY frame) AS dv FROM whole",
+    turns_="SELECT *, lag(d) OVER o AS e, coalesce(dv - 2 * pi() * floor((dv + pi()) / (2 * pi())), 0) AS turn FROM steps WINDOW o AS (PARTITION BY track, signal ORDER BY frame)",
+    shapes="""SELECT track, signal, avg(v) AS mean, stddev_pop(v) AS std, median(v) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, quantile_cont(v, 0.95) AS p95, max(v) AS peak, avg(CASE WHEN v > active THEN 1.0 ELSE 0.0 END) AS active_fraction,
+      regr_slope(v, frame) AS trend, coalesce(sum(d * e) / nullif(sum(d * d), 0), 0) AS autocorr_lag1, avg(CASE WHEN e IS NOT NULL THEN CASE WHEN (d < 0) <> (e < 0) THEN 1.0 ELSE 0.0 END END) AS zero_cross_rate FROM turns_ GROUP BY track, signal""",
+    angles="SELECT track, max(a) - min(a) AS limb_angle_range_rad FROM (SELECT track, sum(turn) OVER (PARTITION BY track ORDER BY frame) AS a FROM turns_ WHERE signal = 'limb_angle') GROUP BY track",
+    accel=f"SELECT track, sqrt(avg(power(dv * {_RATE}, 2))) AS wrist_acceleration_rms FROM steps WHERE signal = 'wrist_speed' GROUP BY track",
+    phys="""SELECT * FROM (SELECT track, avg(wh) AS wrist_height_mean, stddev_pop(wh) AS wrist_height_std, avg(ext) AS limb_extension_mean, stddev_pop(ext) AS limb_extension_std, stddev_pop(hx / s) AS body_sway, stddev_pop(hy / s) AS vertical_bounce, avg(compactness) AS pose_compactness,
+      avg(asym) AS wrist_height_asymmetry, avg(sqrt(power(x15 - x16, 2) + power(y15 - y16, 2)) / s) AS step_width, avg(CASE WHEN s IS NOT NULL THEN abs(degrees(atan2(y6 - y5, x6 - x5))) END) AS shoulder_tilt_abs_deg FROM (
+      SELECT *, list_avg([(hy - y9) / s, (hy - y10) / s]) AS wh, abs((hy - y9) / s - (hy - y10) / s) AS asym, list_avg(["""
+    + ", ".join(f"sqrt(power(x{a} - x{c}, 2) + power(y{a} - y{c}, 2)) / s" for a, c in _CHAINS)
+    + "]) AS ext FROM sp) GROUP BY track) LEFT JOIN angles USING (track) LEFT JOIN accel USING (track)",
+    ctx=f"""SELECT *, sqrt(power(median_x_fraction - 0.5, 2) + power(median_y_fraction - 0.5, 2)) / sqrt(0.5) AS center_distance FROM (SELECT track, count(*) AS frames_present, count(*) / {_RATE} AS track_duration_s, count(*) / {_FRAMES} AS visible_frame_fraction, avg(confidence) AS mean_pose_confidence,
+      median(height) AS median_person_height_px, median(bx) / (SELECT max(px) FROM pose) AS median_x_fraction, median(bo) / (SELECT max(py) FROM pose) AS median_y_fraction FROM m GROUP BY track)""",
+)
+
 ORACLE_SQL = {
     "stable_tracks": _TRACKS,
+    "feature_inventory_time": _INVENTORY_SQL,
     "cached_tracks": _TRACKS,
     "identity_layers": with_views(
         "turns",

@@ -5,11 +5,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cadenza.plans import motion_queries, selection_queries, table_queries
+from cadenza.plans import motion_queries, run_queries, selection_queries, table_queries
 
 SF = Path("/root/testdata/sf0.001")
-QUERIES = motion_queries.QUERIES | table_queries.QUERIES | selection_queries.QUERIES
-SQL = motion_queries.ORACLE_SQL | table_queries.ORACLE_SQL | selection_queries.ORACLE_SQL
+QUERIES = motion_queries.QUERIES | table_queries.QUERIES | selection_queries.QUERIES | run_queries.QUERIES
+SQL = motion_queries.ORACLE_SQL | table_queries.ORACLE_SQL | selection_queries.ORACLE_SQL | run_queries.ORACLE_SQL
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="needs the small tables")
 
