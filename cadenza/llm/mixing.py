@@ -1,10 +1,13 @@
 """Mixing sources to target weights along a curriculum.
 
-Every source has a weight schedule over training time. Its integral is the
-source's share of the words; the inverse of its cumulative demand turns a
-document's place among its source's words into a training position, and the
-mix is the documents sorted by position, repeated or cut where a source's
-target is not its size.
+Every source has a weight schedule over training time. Scaled so that its
+integral is the source's target, it is the rate at which the source's words are
+asked for; the rates of all sources at a time are the mix at that time, and
+their summed integral is the cumulative demand, in words of training. A
+document's place among its source's words is spent at the time at which its
+source's integral reaches it; the demand of all sources by then is the
+document's training position. The mix is the documents range-sorted by
+position, repeated or cut where a source's target is not its size.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ def ramp(start: float, end: float) -> tuple[float, float]:
     return start, end
 
 
-def position(share: Column, start: Column, end: Column) -> Column:
+def moment(share: Column, start: Column, end: Column) -> Column:
     """The training time at which a source has spent this share of its words: the inverse of the schedule's integral.
 
     The integral of start + (end - start) t from 0 to p, over its whole, is
@@ -92,8 +95,9 @@ def mix(
 
     taken is the number of words the mix takes of the document, its repeats
     counted; uses array<struct<position, words>> lists its appearances: the
-    training position and how many of its words, less than all only for the
-    one document at which a source reaches its target. Documents of a source
+    training position, in words that all sources are asked for before it, and
+    how many of its words, less than all only for the one document at which a
+    source reaches its target. Documents of a source
     are laid out in order of a hash of their id and text, so reruns agree. A
     null source is a source; null and empty texts have size 0, are taken with
     0 words, and appear nowhere. Equal rows are laid out one after the other.
@@ -115,6 +119,11 @@ def mix(
     plan = targets(sizes, weights, most_epochs)
     k = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.hex(F.encode(F.col("source"), "UTF-8")))) - 1
     plan = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_s"), "source_size", "target", (k % len(schedules)).cast("int").alias("_k"))
+    first, last = (F.element_at(F.array(*[F.lit(float(s[j])) for s in schedules]), F.col("_k") + 1) for j in (0, 1))
+    # Cumulative demand of all sources at a time: _linear times it and _square times its square.
+    rate = F.col("target") / ((first + last) / 2)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a source
+    plan = plan.withColumns({"_linear": F.sum(rate * first).over(every), "_square": F.sum(rate * (last - first) / 2).over(every)})
     order = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("_s", "_r", F.coalesce(F.sum("_words").over(order), F.lit(0)).alias("_before"))
     grid = starts.join(plan, "_s")
@@ -123,18 +132,17 @@ def mix(
     x = d.join(grid, ["_s", "_r"]).withColumn("_at", F.col("_before") + F.col("_in"))
 
     demand = F.round("target").cast("long")
-    first = F.element_at(F.array(*[F.lit(float(a)) for a, _ in schedules]), F.col("_k") + 1)
-    last = F.element_at(F.array(*[F.lit(float(b)) for _, b in schedules]), F.col("_k") + 1)
 
     def use(epoch: Column) -> Column:
         at = F.col("_at") + epoch * F.col("source_size")
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), demand - at))
         share = F.coalesce(F.try_divide(at.cast("double"), demand.cast("double")), F.lit(0.0))
-        return F.struct(position(share, first, last).alias("position"), words.cast("long").alias("words"))
+        t = moment(share, first, last)
+        return F.struct((F.col("_linear") * t + F.col("_square") * t * t).alias("position"), words.cast("long").alias("words"))
 
     uses = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most_epochs - 1)), use), lambda u: u["words"] > 0)
     x = x.withColumn("uses", uses).withColumn("taken", F.aggregate("uses", F.lit(0).cast("long"), lambda a, u: a + u["words"]))
-    return x.drop("_h", "_s", "_r", "_k", "_before", "_in", "_at")
+    return x.drop("_h", "_s", "_r", "_k", "_before", "_in", "_at", "_linear", "_square")
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
@@ -152,7 +160,13 @@ def sequence(mixed: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    """Every document's share of the mix of all sources."""
+    """Every document's share of the mix of all sources, in order of its first training position, then doc_id; documents that the mix doesn't take come first.
+
+    Nulls, empty texts, ties and repeated rows: see ``mix``. The sort is by
+    ranges of both, so that neither equal positions nor the documents without
+    one are in one range.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     first = F.when(F.size("uses") > 0, F.col("uses")[0]["position"])
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    return mixed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")

@@ -88,12 +88,39 @@ def test_positions_follow_the_schedules(spark):
     docs = spark.createDataFrame([(k, "w w w w w", "abc"[k % 3]) for k in range(3000)], "doc_id long, text string, source string")
     rows = mixing.sequence(mixing.mix(docs, weights=(1.0, 1.0, 1.0))).collect()
     place = [r.position for r in rows]
-    assert place == sorted(place) and 0 <= min(place) and max(place) <= 1
+    assert place == sorted(place) and 0 <= min(place) and max(place) <= 15000
     early = Counter("abc"[r.doc_id % 3] for r in rows[:300])
     late = Counter("abc"[r.doc_id % 3] for r in rows[-300:])
     assert early["a"] > 2 * early["c"] and late["c"] > 2 * late["a"]
 
 
+def test_positions_are_cumulative_demand(spark):
+    """By a position, as many words as it says have been given out, and each source's by its own integral at that time."""
+    sizes = {"a": 4000, "b": 1000, "c": 700}
+    docs = spark.createDataFrame([(k, "w " * 5, s) for s, n in sizes.items() for k in range(n)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    rows = sorted((u["position"], r.source, u["words"]) for r in mixed.select("source", "uses").collect() for u in r.uses)
+    target = {r.source: r.target for r in mixed.select("source", "target").distinct().collect()}
+    total, schedule = sum(target.values()), dict(zip("abc", ((3, 1), (1, 1), (1, 3)), strict=True))
+    part = lambda s, t: target[s] * (schedule[s][0] * t + (schedule[s][1] - schedule[s][0]) * t * t / 2) / (sum(schedule[s]) / 2)
+    for stop in (0.1, 0.35, 0.7, 0.99):
+        at = sum(part(s, stop) for s in target)
+        before = Counter()
+        for position, s, words_ in rows:
+            if position < at:
+                before[s] += words_
+        assert sum(before.values()) == pytest.approx(at, abs=0.01 * total)
+        for s in target:
+            assert before[s] == pytest.approx(part(s, stop), abs=0.01 * total)
+
+
+def test_query_is_range_sorted(spark):
+    out = mixing.op3_mixing(spark, SF)
+    assert "rangepartitioning(first_position" in out._jdf.queryExecution().toString()
+    rows = [(r.first_position is not None, r.first_position or 0.0, r.doc_id) for r in out.collect()]
+    assert rows == sorted(rows)
+
+
 def test_in_order_keeps_columns(spark):
     docs = spark.createDataFrame([(k, f"w{k} x", "ab"[k % 2], "en") for k in range(40)], "doc_id long, text string, source string, target string")
     out = mixing.in_order(docs)

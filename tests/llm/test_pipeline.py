@@ -84,3 +84,22 @@ def test_hard_rows(spark):
         assert stage(spark, docs, SF).count() <= 3 * len(rows)
     kept = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 2, 3, 5]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    one, two = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [
+        (7, one, "en", "b", 1), (7, two, "en", "b", 1), (7, one + " x", "en", "b", 1), (3, two + " y", "en", "b", 1), (7, one, "de", "a", 1), (None, one, "en", "b", 1), (None, "quite another text", "en", "b", 1),
+        (9, None, "en", "b", 0), (9, None, "en", "b", 0), (10, "", "en", "b", 0), (11, "", "en", "b", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    firsts = [r for r in got if r[0] and r[1] and r[1].startswith("w0")]
+    assert len(firsts) == 1 and firsts[0][0] == 7 and firsts[0][1] in (one, one + " x")
+    if firsts[0][1] == one:
+        assert firsts[0] == (7, one, "de", "a", 1)
+    others = sorted((r for r in got if r not in firsts), key=str)
+    assert others == sorted([rows[3], rows[5], rows[6], rows[7], rows[9], rows[10]], key=str)
+    again = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs.repartition(5), SF).collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
+    assert corpus_pipeline.one_of_each_group(spark, docs.where("false"), SF).count() == 0
