@@ -20,10 +20,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, a similarity of 0.75 or more) the one with the smallest doc_id stays; of rows with one doc_id, one. Rows without doc_id stay."""
-    gone = ngram_join.link(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return docs.withColumn("_alone", alone).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "_alone"]).select(docs.columns)
+    """Of near-duplicates (five-word shingles, a similarity of 0.75 or more) one row stays: that with the smallest doc_id, then the smallest hash of its text. Rows without doc_id stay, and have no part in groups.
+
+    Every row is a document of its own here, so different texts under one
+    doc_id stay unless they are alike. Of rows that agree in doc_id and text,
+    the one whose other columns are smallest stays. Rows without words are
+    alike to nothing but their repeats.
+    """
+    row = F.xxhash64("doc_id", "text")
+    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", F.lit(1)).alias("hash"))
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    known = docs.select(row.alias("row"), order.alias("o")).groupBy("row").agg(F.min("o").alias("o"), F.max("o").alias("last"))
+    groups = ngram_join.link(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    placed = known.join(groups, "row")
+    best = placed.groupBy("component_id").agg(F.min(F.struct("o", "row")).alias("b")).select("b.row")
+    # Should two different rows have one hash, both stay.
+    stay = best.union(known.where("o <> last").select("row")).distinct()
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = docs.withColumns({"_row": row, "_hash": F.xxhash64("text", F.lit(1))}).join(stay.withColumnRenamed("row", "_row"), "_row", "left_semi")
+    one = kept.groupBy("_row", "_hash", "doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest], "text")).alias("d"))
+    return one.select(*["doc_id" if c == "doc_id" else F.col(f"d.`{c}`") for c in docs.columns]).unionByName(nameless)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
