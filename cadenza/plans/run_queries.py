@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import authority, identity, inventory, stitching, tracking
+from cadenza.operators import authority, features, identity, inventory, prediction, stitching, tracking
 from cadenza.operators.snapshots import Store
 from cadenza.plans.motion_queries import _JOINTS_XY, rounded
 from cadenza.plans.oracle import with_views
@@ -116,8 +116,37 @@ def feature_inventory_time(spark, sf_dir):
     return _features(spark, sf_dir, ("time", "biomechanics", "context"))
 
 
+MODEL_ROWS = [("even", 0.45, 1, "n_chars", 0.2, 1500.0, 2000.0, 1500.0), ("even", 0.45, 2, "toxic", -0.3, 0.0, 0.1, 0.3), ("odd", 0.55, 1, "toxic", 0.1, 0.0, 0.2, 0.0)]
+
+
+def predicted_runs(spark, sf_dir):
+    """The reviewed documents scored with two versions of a model, a source with an even number of its hash with the one, others with the other."""
+    r = bridge.reviews(spark, sf_dir)
+    known = F.map_filter(F.create_map(F.lit("n_chars"), F.when(F.col("n_chars") % 7 != 0, F.col("n_chars").cast("double")), F.lit("toxic"), F.col("toxic").cast("double")), lambda k, v: v.isNotNull())
+    values = r.select("run", "track", known.alias("values"))
+    version = F.when(F.expr("conv(substr(sha2(run, 256), 1, 2), 16, 10) % 2 = 0"), "even").otherwise("odd")
+    got = prediction.predict(values, r.select("run").distinct().withColumn("fingerprint", version), spark.createDataFrame(MODEL_ROWS, prediction.MODELS))
+    p = F.col("predictors")
+    return rounded(got.select("run", "track", "fingerprint", "score", "predicted", "method", F.size(p).cast("long").alias("n_predictors"), p[0]["contribution"].alias("first")), "score", "first")
+
+
+def sequence_probability(spark, sf_dir):
+    """A recurrent model trained on the users' sequences of window means, whether a user has bought more than the median one, and its probabilities."""
+    s = bridge.signal(spark, sf_dir).withColumn("t", F.col("t") / 86400)
+    w = features.window_sequences(s, ["track"], "t", "value", 5.0, 9, 3.0, 0.25, 2)
+    seq = w.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("step", ((F.col("mean") - 50) / 25).alias("v")))).alias("s"))
+    seq = seq.select(F.lit("all").alias("run"), "track", F.transform("s", lambda x: F.array(F.coalesce(x["v"], F.lit(0.0)))).alias("xs"))
+    bought = s.groupBy("track").agg(F.count_if(F.col("kind") == "purchase").alias("n"))
+    usual = bought.agg(F.median("n").alias("m"))
+    labels = bought.join(F.broadcast(usual)).select("track", (F.col("n") > F.col("m")).cast("int").alias("label"))  # one row
+    theta, _ = prediction.train_temporal(seq.join(labels, "track"), 1, 8, epochs=5)
+    model = prediction.temporal_model(spark, "all", theta, 1, 8)
+    out = prediction.temporal(seq, seq.select("run").distinct().withColumn("fingerprint", F.lit("all")), model)
+    return rounded(out.select("track", "probability"), "probability")
+
+
 QUERIES = {
-    f.__name__: f for f in (stable_tracks, cached_tracks, identity_layers, stitched_runs, frame_assignment, cached_scan_types, snapshot_view, feature_inventory, feature_inventory_time)
+    f.__name__: f for f in (predicted_runs, sequence_probability, stable_tracks, cached_tracks, identity_layers, stitched_runs, frame_assignment, cached_scan_types, snapshot_view, feature_inventory, feature_inventory_time)
 }
 
 _DENSE = "CASE WHEN p IS NOT NULL THEN dense_rank() OVER (PARTITION BY run ORDER BY p NULLS LAST) - 1 END"
@@ -195,6 +224,13 @@ _INVENTORY_SQL = with_views(
 )
 
 ORACLE_SQL = {
+    "predicted_runs": with_views(
+        "reviews",
+        """SELECT run, track, fingerprint, round(CASE WHEN fingerprint = 'even' THEN 0.45 + first + (toxic - 0.1) / 0.3 * -0.3 ELSE 0.55 + first END, 6) + 0.0 AS score,
+        CAST(CASE WHEN fingerprint = 'even' THEN 0.45 + first + (toxic - 0.1) / 0.3 * -0.3 ELSE 0.55 + first END >= 0.5 AS INTEGER) AS predicted, 'linear' AS method, CAST(CASE WHEN fingerprint = 'even' THEN 2 ELSE 1 END AS BIGINT) AS n_predictors, round(first, 6) + 0.0 AS first
+        FROM (SELECT *, CASE WHEN fingerprint = 'even' THEN (CASE WHEN n_chars % 7 <> 0 THEN n_chars ELSE 1500 END - CAST(2000 AS DOUBLE)) / 1500 * 0.2 ELSE (CAST(toxic AS DOUBLE) - 0.2) * 0.1 END AS first FROM v)""",
+        v="SELECT *, CASE WHEN CAST('0x' || substr(sha256(run), 1, 2) AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END AS fingerprint FROM reviews",
+    ),
     "stable_tracks": _TRACKS,
     "feature_inventory_time": _INVENTORY_SQL,
     "cached_tracks": _TRACKS,
