@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import authority, features, identity, inventory, prediction, stitching, tracking
+from cadenza.operators import appearance, authority, features, identity, inventory, prediction, stitching, tracking
 from cadenza.operators.snapshots import Store
 from cadenza.plans.motion_queries import _JOINTS_XY, rounded
 from cadenza.plans.oracle import with_views
@@ -145,8 +145,19 @@ def sequence_probability(spark, sf_dir):
     return rounded(out.select("track", "probability"), "probability")
 
 
+def descriptor_references(spark, sf_dir):
+    """The reference of every label's vectors in order, of two regions of eight values each, one of which every fifth vector lacks."""
+    e = bridge.table(spark, sf_dir, "embeddings").selectExpr("CAST(label AS BIGINT) AS track", "vec_id AS frame", "vec_id % 5 AS gone", "transform(embedding, v -> abs(CAST(v AS DOUBLE))) AS v")
+    region = lambda k: F.when(F.col("gone") != k, F.transform(F.slice("v", 8 * k + 1, 8), lambda x: x / F.aggregate(F.slice("v", 8 * k + 1, 8), F.lit(0.0), lambda a, b: a + b)))
+    d = e.select("track", "frame", F.array(region(0), region(1)).alias("d"))
+    r = appearance.references(d, ["track"], "frame", "d").join(d, ["track", "frame"])
+    weigh = lambda k: F.aggregate(F.arrays_zip(F.col("reference")[k].alias("x"), F.sequence(F.lit(1), F.lit(8)).alias("i")), F.lit(0.0), lambda s, z: s + z["x"] * z["i"])
+    out = r.select("track", "frame", appearance.distance(F.col("before"), F.col("d")).alias("distance"), weigh(0).alias("first"), weigh(1).alias("second"))
+    return rounded(out, "distance", "first", "second", digits=5)
+
+
 QUERIES = {
-    f.__name__: f for f in (predicted_runs, sequence_probability, stable_tracks, cached_tracks, identity_layers, stitched_runs, frame_assignment, cached_scan_types, snapshot_view, feature_inventory, feature_inventory_time)
+    f.__name__: f for f in (descriptor_references, predicted_runs, sequence_probability, stable_tracks, cached_tracks, identity_layers, stitched_runs, frame_assignment, cached_scan_types, snapshot_view, feature_inventory, feature_inventory_time)
 }
 
 _DENSE = "CASE WHEN p IS NOT NULL THEN dense_rank() OVER (PARTITION BY run ORDER BY p NULLS LAST) - 1 END"
@@ -223,7 +234,21 @@ _INVENTORY_SQL = with_views(
       median(height) AS median_person_height_px, median(bx) / (SELECT max(px) FROM pose) AS median_x_fraction, median(bo) / (SELECT max(py) FROM pose) AS median_y_fraction FROM m GROUP BY track)""",
 )
 
+def _mixed(k: int) -> str:
+    return f"CASE WHEN n.r{k} IS NULL THEN w.r{k} WHEN w.r{k} IS NULL THEN n.r{k} ELSE list_transform(range(1, 9), lambda i: (9 * w.r{k}[i] + n.r{k}[i]) / 10) END"
+
+
+def _apart(k: int) -> str:
+    return f"CASE WHEN w.r{k} IS NOT NULL AND n.r{k} IS NOT NULL THEN sqrt(greatest(1 - list_sum(list_transform(range(1, 9), lambda i: sqrt(w.r{k}[i] * n.r{k}[i]))), 0)) END"
+
+
+_REGIONS = ", ".join(f"CASE WHEN gone <> {k} THEN list_transform(v[{8 * k + 1}:{8 * k + 8}], lambda x: x / list_sum(v[{8 * k + 1}:{8 * k + 8}])) END AS r{k}" for k in (0, 1))
 ORACLE_SQL = {
+    "descriptor_references": f"""WITH RECURSIVE e AS (SELECT CAST(label AS BIGINT) AS track, vec_id AS frame, vec_id % 5 AS gone, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS v FROM embeddings),
+    n AS (SELECT track, frame, k, {_REGIONS} FROM e),
+    walk AS (SELECT track, frame, k, r0, r1, CAST(NULL AS DOUBLE) AS d0, CAST(NULL AS DOUBLE) AS d1 FROM n WHERE k = 1 UNION ALL
+      SELECT n.track, n.frame, n.k, {_mixed(0)}, {_mixed(1)}, {_apart(0)}, {_apart(1)} FROM walk w JOIN n ON n.track = w.track AND n.k = w.k + 1)
+    SELECT track, frame, round(list_avg([d0, d1]), 5) + 0.0 AS distance, round(list_sum(list_transform(range(1, 9), lambda i: i * r0[i])), 5) AS first, round(list_sum(list_transform(range(1, 9), lambda i: i * r1[i])), 5) AS second FROM walk""",
     "predicted_runs": with_views(
         "reviews",
         """SELECT run, track, fingerprint, round(CASE WHEN fingerprint = 'even' THEN 0.45 + first + (toxic - 0.1) / 0.3 * -0.3 ELSE 0.55 + first END, 6) + 0.0 AS score,
