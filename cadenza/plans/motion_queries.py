@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import coaching, consensus, deviation, features, geometry, tracking
 from cadenza.plans.oracle import with_views
+from cadenza.schema import JOINTS
 from cadenza.sources import bridge
 
 D = 6
@@ -329,6 +330,46 @@ ORACLE_SQL = {
         b="SELECT *, nullif(sqrt(power((x5 + x6) / 2 - hx, 2) + power((y5 + y6) / 2 - hy, 2)), 0) AS s FROM h",
         near="SELECT track, frame, avg(sqrt(power(px - hx, 2) + power(py - hy, 2)) / s) AS compactness FROM pose JOIN b USING (track, frame) GROUP BY track, frame",
     ),
+    "feedback_moments": with_views(
+        "coach",
+        """SELECT track, row_number() OVER (PARTITION BY track ORDER BY t) AS rank, round(t, 6) AS t, round(score, 6) AS score, joint, text FROM (SELECT track, unnest(rows) AS r FROM (SELECT track, rows, row_number() OVER (PARTITION BY track ORDER BY k DESC) AS last FROM walk) WHERE last = 1) JOIN o USING (track, r)""",
+        per0="SELECT track, frame, t, deviation, joint, dx, dy, avg(deviation) OVER (PARTITION BY track, frame) AS score, row_number() OVER (PARTITION BY track, frame ORDER BY deviation DESC, joint) AS k FROM el",
+        per=f"""SELECT track, t, score, joint, [{", ".join(f"'{j.replace('_', ' ')}'" for j in JOINTS)}][joint + 1] || CASE WHEN abs(dy) >= 0.15 AND abs(dy) >= 1.5 * abs(dx) THEN CASE WHEN dy > 0 THEN ': lower' ELSE ': higher' END ELSE ': differs' END AS text
+        FROM per0 WHERE k = 1 AND deviation >= 0.15""",
+        o="SELECT *, row_number() OVER (PARTITION BY track ORDER BY score DESC, t) AS r FROM per",
+        walk="""SELECT track, 1 AS k, [r] AS rows, [t] AS ts FROM o WHERE r = 1 UNION ALL
+        SELECT w.track, w.k + 1, list_append(w.rows, n.r), list_append(w.ts, n.t) FROM walk w, LATERAL (SELECT r, t FROM o WHERE o.track = w.track AND len(list_filter(w.ts, lambda x: abs(x - o.t) < 0.2)) = 0 ORDER BY r LIMIT 1) n WHERE w.k < 3""",
+    ),
+    "key_moments": with_views(
+        "norm",
+        """SELECT CAST(k AS BIGINT) AS rank, a, b, round("start", 6) AS "start", round("end", 6) AS "end", round(peak, 6) AS peak, round(mean, 6) AS mean, region, joint FROM walk JOIN o USING (r)""",
+        v="SELECT frame, t, joint, track, nx, ny, CASE WHEN joint <= 4 THEN 'head' WHEN joint <= 10 THEN 'arms' WHEN joint <= 12 THEN 'torso' ELSE 'legs' END AS region, CASE WHEN joint <= 4 THEN 1 WHEN joint <= 10 THEN 2 WHEN joint <= 12 THEN 3 ELSE 4 END AS place FROM norm WHERE nx IS NOT NULL",
+        j="SELECT p.track AS a, q.track AS b, p.frame, p.t, p.joint, p.region, p.place, sqrt(power(p.nx - q.nx, 2) + power(p.ny - q.ny, 2)) AS d FROM v p JOIN v q ON p.frame = q.frame AND p.joint = q.joint AND p.track < q.track",
+        w0="SELECT *, row_number() OVER (PARTITION BY a, b, frame, region ORDER BY d DESC, joint) AS k FROM j",
+        reg="SELECT a, b, frame, region, place, max(t) AS t, count(*) AS n, sum(d) AS s, max(d) AS most, max(joint) FILTER (k = 1) AS joint FROM w0 GROUP BY ALL",
+        pf="""SELECT a, b, frame, t, n, s / n AS mean, most, region, joint FROM (SELECT a, b, frame, max(t) OVER f AS t, sum(n) OVER f AS n, sum(s) OVER f AS s, max(most) OVER f AS most, region, joint, row_number() OVER (PARTITION BY a, b, frame ORDER BY s / n DESC, place) AS k
+        FROM reg WINDOW f AS (PARTITION BY a, b, frame)) WHERE k = 1""",
+        times="SELECT DISTINCT frame, t FROM norm",
+        pause="SELECT greatest(0.25, 2 * median(dt)) AS pause FROM (SELECT t - lag(t) OVER (ORDER BY frame) AS dt FROM times)",
+        grid="SELECT p.a, p.b, x.frame, x.t, f.mean, f.region, f.joint, coalesce(f.n >= 6 AND f.most >= 0.15, FALSE) AS bad FROM (SELECT DISTINCT a, b FROM pf) p CROSS JOIN times x LEFT JOIN pf f ON f.a = p.a AND f.b = p.b AND f.frame = x.frame",
+        isl0="SELECT *, CASE WHEN bad AND (NOT coalesce(lag(bad) OVER o, FALSE) OR t - lag(t) OVER o > (SELECT pause FROM pause)) THEN 1 ELSE 0 END AS begins FROM grid WINDOW o AS (PARTITION BY a, b ORDER BY frame)",
+        isl="SELECT *, sum(begins) OVER (PARTITION BY a, b ORDER BY frame) AS island FROM isl0",
+        e="""SELECT a, b, "start", "end", t AS peak, mean, region, joint FROM (SELECT *, min(t) OVER g AS "start", max(t) OVER g AS "end", row_number() OVER (PARTITION BY a, b, island ORDER BY mean DESC, t) AS k FROM isl WHERE bad WINDOW g AS (PARTITION BY a, b, island)) WHERE k = 1 AND "end" - "start" >= 0.05""",
+        o="SELECT *, row_number() OVER (ORDER BY mean DESC, peak, a, b) AS r FROM e",
+        walk="""SELECT 1 AS k, r, [peak] AS ts FROM o WHERE r = 1 UNION ALL
+        SELECT w.k + 1, n.r, list_append(w.ts, n.peak) FROM walk w, LATERAL (SELECT r, peak FROM o WHERE len(list_filter(w.ts, lambda x: abs(x - o.peak) < 0.2)) = 0 ORDER BY r LIMIT 1) n WHERE w.k < 5""",
+    ),
+    "biomech_features": with_views(
+        "pose",
+        """SELECT track, round(avg(wh), 6) + 0.0 AS wrist_height_mean, round(stddev_pop(wh), 6) AS wrist_height_std, round(avg(ext), 6) AS limb_extension_mean, round(stddev_pop(hx / s), 6) AS body_sway, round(stddev_pop(hy / s), 6) AS vertical_bounce,
+        round(avg(sqrt(power(x15 - x16, 2) + power(y15 - y16, 2)) / s), 6) AS step_width, round(avg(speed), 6) AS wrist_speed_mean, round(quantile_cont(speed, 0.95), 6) AS wrist_speed_p95 FROM (
+        SELECT *, list_avg([(hy - y9) / s, (hy - y10) / s]) AS wh, CASE WHEN dt > 0 AND sc > 0 THEN wrist / (dt * sc) END AS speed,
+        list_avg([sqrt(power(x5 - x9, 2) + power(y5 - y9, 2)) / s, sqrt(power(x6 - x10, 2) + power(y6 - y10, 2)) / s, sqrt(power(x11 - x15, 2) + power(y11 - y15, 2)) / s, sqrt(power(x12 - x16, 2) + power(y12 - y16, 2)) / s]) AS ext FROM sp) GROUP BY track""",
+        l="SELECT *, CASE WHEN px IS NOT NULL AND lag(px) OVER w IS NOT NULL AND lag(frame) OVER w = frame - 1 THEN sqrt(power(px - lag(px) OVER w, 2) + power(py - lag(py) OVER w, 2)) END AS far FROM pose WINDOW w AS (PARTITION BY track, joint ORDER BY frame)",
+        m=f"SELECT track, frame, max(t) AS t, avg(far) FILTER (joint IN (9, 10)) AS wrist, {_JOINTS_XY} FROM l GROUP BY track, frame",
+        b="SELECT *, (x11 + x12) / 2 AS hx, (y11 + y12) / 2 AS hy, sqrt(power((x5 + x6 - x11 - x12) / 2, 2) + power((y5 + y6 - y11 - y12) / 2, 2)) AS torso FROM m",
+        sp="SELECT *, nullif(torso, 0) AS s, CASE WHEN lag(frame) OVER f = frame - 1 THEN t - lag(t) OVER f END AS dt, (torso + lag(torso) OVER f) / 2 AS sc FROM b WINDOW f AS (PARTITION BY track ORDER BY frame)",
+    ),
     "context_features": with_views(
         "pose",
         f"""SELECT track, count(*) AS frames_present, round(max(t) - min(t), 6) AS span_s, round(count(*) / {_SHARE}, 6) AS visible_fraction, round(avg(conf), 6) AS mean_confidence, round(median(height), 6) AS median_height,
