@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.arrowtext import LOWER, give_back, mix, stretch_hashes, take_strings, word_bounds
-from cadenza.llm.ngram_counts import CELL, CHUNK, RANGE, answer, ask, gram_hashes, parts, squeeze, unsqueeze
+from cadenza.llm.ngram_counts import CELL, RANGE, answer, ask, gram_hashes, parts, squeeze, unsqueeze
 from cadenza.plans.scratch import Scratch
 
 #: Longest phrase, least count, percent of a phrase's count at which a longer one stands for it, rows of a language, and parts a language is dealt over before its last sort.
 LONGEST, LEAST, COVERED, TOP, SALTS = 4, 30, 80, 2000, 64
+#: Bytes of text of a chunk; its automaton takes some forty times as many.
+CHUNK = 3 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 SEPARATOR = BREAK.copy()
@@ -46,20 +48,21 @@ class Automaton:
     """
 
     def __init__(self, ids: np.ndarray, depth: np.ndarray, most: int, first: int = 0):
-        back = [ids + 1]
+        back = [(ids + 1).astype(np.int32)]
         for j in range(1, most):
-            b = np.zeros(len(ids), np.int64)
+            b = np.zeros(len(ids), np.int32)
             b[j:] = back[0][:-j]
             b[depth < j] = 0
             back.append(b)
         radix = int(ids.max(initial=0)) + 2
-        key, size = back[-1][first:], radix
+        key, size = back[-1][first:].astype(np.int64), radix
         for j in reversed(range(most - 1)):
             if size * radix >= 1 << 62:
                 _, key = np.unique(key, return_inverse=True)
                 size = int(key.max(initial=0)) + 1
-            key, size = back[j][first:] * size + key, size * radix
-        order = np.argsort(key, kind="stable") + first
+            key, size = back[j][first:].astype(np.int64) * size + key, size * radix
+        order = np.argsort(key, kind="stable").astype(np.int32) + np.int32(first)
+        del key
         n = len(order)
         new = np.zeros(n + 1, bool)
         new[[0, n]] = True
@@ -70,8 +73,9 @@ class Automaton:
             at = np.flatnonzero(new)
             size_k, at = np.diff(at), at[:-1]
             shown = b[at] > 0 if n else np.zeros(0, bool)
-            starts.append(at[shown])
-            counts.append(size_k[shown])
+            starts.append(at[shown].astype(np.int32))
+            counts.append(size_k[shown].astype(np.int32))
+        del back, new
         # A string of k words is in the state of the string of k + 1 that begins at the same row if they have the same ends.
         for k in range(most):
             same = np.zeros(len(starts[k]), bool)
@@ -91,7 +95,7 @@ class Automaton:
         base = np.cumsum([0] + [len(x) for x in longest])
         state_of = []  # of each string of k words
         for k in reversed(range(most)):
-            own = np.empty(len(starts[k]), np.int64)
+            own = np.empty(len(starts[k]), np.int32)
             own[~covers[k]] = base[k] + np.arange(int((~covers[k]).sum()))
             if covers[k].any():
                 own[covers[k]] = state_of[0][np.searchsorted(starts[k + 1], starts[k][covers[k]])]
@@ -129,7 +133,8 @@ def _chunks(docs: DataFrame, most: int, longest: int) -> DataFrame:
                 rank[by] = np.arange(len(by))
                 in_order = np.argsort(at[by])
                 text = take_strings(data, start[at[by]][in_order], end[at[by]][in_order]).take(pa.array(np.argsort(in_order)))
-                breaks = np.concatenate([[0], np.cumsum(BREAK[data])])
+                breaks = np.zeros(len(data) + 1, np.int32)
+                np.cumsum(BREAK[data], dtype=np.int32, out=breaks[1:])
                 begins = np.ones(len(start), bool)
                 begins[1:] = (row[1:] != row[:-1]) | (breaks[start[1:]] != breaks[end[:-1]])
                 at_start = np.maximum.accumulate(np.where(begins, np.arange(len(start)), 0))

@@ -88,3 +88,16 @@ def test_states_have_the_strings_of_equal_ends():
         p, k = x.place[s], x.shortest[s] - 1
         suffix = tuple(ids[p - k + 1 : p + 1]) if k else ()
         assert x.link[s] == (strings[suffix] if k else -1) and (not k or len(ends[suffix]) > x.count[s])
+
+
+def test_many_different_words():
+    """Keys of several words pass 32 bits, and 63 as well."""
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 90_000, 120_000)
+    ids[60_000:] = ids[:60_000]
+    x = c.Automaton(ids, np.minimum(np.arange(len(ids)), 3), 4)
+    for k in (1, 2, 3, 4):
+        place, count = x.strings(k)
+        words = np.stack([ids[k - 1 - j : len(ids) - j] for j in range(k)], 1)
+        _, n = np.unique(words, axis=0, return_counts=True)
+        assert sorted(count.tolist()) == sorted(n.tolist()) and len({tuple(ids[p - k + 1 : p + 1]) for p in place.tolist()}) == len(n)
