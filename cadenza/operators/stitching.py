@@ -17,22 +17,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.geometry import person_center, person_scale
 from cadenza.operators.tracking import LEAST_LENGTH, NEIGHBOURS, STITCH_COST, STITCH_GAP
 from cadenza.plans.scratch import Scratch
+from cadenza.schema import VISIBLE
 
 #: Detections that a moving mean of five looks to on each side.
 REACH = 2
 ENDS = NEIGHBOURS + REACH
 
 
+def measured(tracked: DataFrame, pose: DataFrame) -> DataFrame:
+    """run, frame, det, tracklet, x, y, size, extent of tracked bodies (run, frame, det, tracklet), whose joints are in pose with det as track."""
+    seen = F.col("c") >= VISIBLE
+    box = pose.where("x IS NOT NULL").groupBy("run", "track", "frame").agg(*[(F.max(F.when(seen, F.col(k))) - F.min(F.when(seen, F.col(k)))).alias(f"_{k}") for k in "xy"])
+    m = person_center(pose).join(person_scale(pose), ["run", "track", "frame"]).join(box, ["run", "track", "frame"], "left")
+    m = m.select("run", "frame", F.col("track").alias("det"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("scale").alias("size"), F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")).alias("extent"))
+    return tracked.join(m, ["run", "frame", "det"])
+
+
 def groups_of(dets: DataFrame) -> DataFrame:
-    """One row a tracklet: run, g, lead, made, first, last, n, size, extent, head, tail. made: the cost at which it was joined, -1 if it wasn't."""
+    """One row a tracklet: run, g, lead, members, made, first, last, n, size, extent, head, tail. made: the cost at which it was joined, -1 if it wasn't."""
     part = Window.partitionBy("run", "tracklet")
     point = F.struct("frame", "det", "x", "y", "size", "extent")
     d = dets.withColumn("_a", F.row_number().over(part.orderBy("frame", "det"))).withColumn("_z", F.row_number().over(part.orderBy(F.desc("frame"), F.desc("det"))))
     head, tail = (F.array_sort(F.collect_list(F.when(F.col(c) <= ENDS, point))) for c in ("_a", "_z"))
     return d.groupBy("run", F.col("tracklet").alias("g")).agg(
-        F.first("tracklet").alias("lead"), F.lit(-1.0).alias("made"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n"),
+        F.first("tracklet").alias("lead"), F.array(F.first("tracklet")).alias("members"), F.lit(-1.0).alias("made"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n"),
         F.median("size").alias("size"), F.median(F.when(F.col("extent") > 0, F.col("extent"))).alias("extent"), head.alias("head"), tail.alias("tail"),
     )
 
@@ -50,8 +61,20 @@ def _median(values: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
+def _faces(groups: DataFrame) -> DataFrame:
+    """The groups with hs and ts: the ``NEIGHBOURS`` detections at each end, with their places averaged."""
+
+    def held(points: str, first: Column) -> Column:
+        places = F.sequence(first, F.least(F.size(points), first + NEIGHBOURS - 1))
+        p = lambda i: F.get(F.col(points), i - 1)
+        return F.transform(places, lambda i: F.struct(p(i)["frame"].alias("frame"), p(i)["size"].alias("size"), p(i)["extent"].alias("extent"), _mean(F.col(points), i, "x").alias("x"), _mean(F.col(points), i, "y").alias("y")))
+
+    last = F.greatest(F.lit(1), F.size("tail") - NEIGHBOURS + 1)
+    return groups.withColumns({"hs": held("head", F.lit(1)), "ts": held("tail", last)}).drop("head", "tail", "members", "lead")
+
+
 def link_cost(a: str, b: str, fps: float, max_gap: int) -> Column:
-    """Cost of groups a and b (names of struct columns) being one person, null if they can't be.
+    """Cost of groups a and b (names of struct columns, with faces) being one person, null if they can't be.
 
     The nearest ``NEIGHBOURS`` detections of b are held against a's end that
     faces them: how far they are beyond what the pause allows, in sizes, the
@@ -59,33 +82,33 @@ def link_cost(a: str, b: str, fps: float, max_gap: int) -> Column:
     """
     x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
     before = x("last") < y("first")
-    end = F.when(before, x("tail")).otherwise(x("head"))
-    at = F.when(before, F.size(end)).otherwise(F.lit(1))
-    face = F.when(before, y("head")).otherwise(y("tail"))
-    first = F.when(before, F.lit(1)).otherwise(F.greatest(F.lit(1), F.size(face) - NEIGHBOURS + 1))
-    places = F.sequence(first, F.least(F.size(face), first + NEIGHBOURS - 1))
-    own, ox, oy = F.get(end, at - 1), _mean(end, at, "x"), _mean(end, at, "y")
-
-    def held(i: Column) -> Column:
-        p = F.get(face, i - 1)
-        gap = F.abs(p["frame"] - own["frame"])
-        size = F.least(own["size"], p["size"])
-        extent = F.when(own["extent"].isNotNull() & p["extent"].isNotNull(), F.least(own["extent"], p["extent"]) / 4)
-        far = F.sqrt(F.pow(ox - _mean(face, i, "x"), 2) + F.pow(oy - _mean(face, i, "y"), 2)) / F.greatest(size, F.coalesce(extent, size))
-        return F.struct(gap.cast("double").alias("gap"), F.greatest(F.lit(0.0), far - (0.5 + gap / fps)).alias("excess"), far.isNotNull().alias("ok"))
-
-    pairs = F.transform(places, held)
-    gaps = F.transform(pairs, lambda p: p["gap"])
-    excess = _median(F.transform(F.filter(pairs, lambda p: p["ok"]), lambda p: p["excess"]))
+    own = F.when(before, F.element_at(x("ts"), -1)).otherwise(F.get(x("hs"), F.lit(0)))
+    face = F.when(before, y("hs")).otherwise(y("ts"))
+
+    def held(p: Column, o: Column) -> Column:
+        gap = F.abs(p["frame"] - o["frame"]).cast("double")
+        size = F.least(o["size"], p["size"])
+        extent = F.when(o["extent"].isNotNull() & p["extent"].isNotNull(), F.least(o["extent"], p["extent"]) / 4)
+        far = F.sqrt(F.pow(o["x"] - p["x"], 2) + F.pow(o["y"] - p["y"], 2)) / F.greatest(size, F.coalesce(extent, size))
+        return F.struct(gap.alias("gap"), F.greatest(F.lit(0.0), far - (0.5 + gap / fps)).alias("excess"), far.isNotNull().alias("ok"))
+
+    def total(o: Column) -> Column:
+        return F.get(F.transform(F.array(F.transform(face, lambda p: held(p, o))), summed), F.lit(0))
+
+    def summed(pairs: Column) -> Column:
+        gaps = F.transform(pairs, lambda p: p["gap"])
+        excess = _median(F.transform(F.filter(pairs, lambda p: p["ok"]), lambda p: p["excess"]))
+        return F.when(F.array_min(gaps) <= max_gap, excess + 0.1 * _median(gaps) / fps)
+
     ratio = F.abs(F.ln(y("size") / x("size")))
     whole = F.abs(F.ln(y("extent") / x("extent")))
-    cost = excess + F.coalesce(0.2 * ratio + whole, ratio) + 0.1 * _median(gaps) / fps
-    return F.when(F.array_min(gaps) <= max_gap, cost)
+    return F.get(F.transform(F.array(own), total), F.lit(0)) + F.coalesce(0.2 * ratio + whole, ratio)
 
 
 def _costs(early: DataFrame, late: DataFrame, fps: float, max_gap: int, most: float) -> DataFrame:
     """run, x, y, cost of pairs of an early and a late group that may be one person. Time is cut into ranges of the longest pause, so only groups of one range and the next meet."""
     step = float(max_gap + 1)
+    early, late = _faces(early), _faces(late)
     whole = [F.struct(*early.columns).alias("v")]
     e = early.select("run", F.floor(F.col("last") / step).alias("_r"), *whole).withColumnRenamed("v", "e")
     la = late.select("run", F.explode(F.array(F.floor(F.col("first") / step), F.floor(F.col("first") / step) - 1)).alias("_r"), *whole).withColumnRenamed("v", "l")
@@ -104,7 +127,7 @@ def _mutual(pairs: DataFrame) -> DataFrame:
     return best.groupBy("run", "p").agg(F.count("*").alias("n")).where("n = 2").select("run", "p.x", "p.y", "p.cost")
 
 
-def _joined(merges: DataFrame, live: DataFrame, medians: DataFrame) -> DataFrame:
+def _joined(merges: DataFrame, live: DataFrame, dets: DataFrame) -> DataFrame:
     """The rows of the new groups: ends of both parts in order, medians of all their detections."""
     u, v = (live.select("run", F.col("g").alias(c), F.struct(*live.columns).alias(s)) for c, s in (("x", "u"), ("y", "v")))
     j = merges.join(u, ["run", "x"]).join(v, ["run", "y"])
@@ -112,28 +135,24 @@ def _joined(merges: DataFrame, live: DataFrame, medians: DataFrame) -> DataFrame
     j = j.withColumn("e", F.when(first, F.col("u")).otherwise(F.col("v"))).withColumn("l", F.when(first, F.col("v")).otherwise(F.col("u")))
     every_tail = F.concat("e.tail", "l.tail")
     j = j.select(
-        "run", F.col("x").alias("g"), F.col("e.lead").alias("lead"), F.col("cost").alias("made"), F.col("e.first").alias("first"), F.col("l.last").alias("last"), (F.col("u.n") + F.col("v.n")).alias("n"),
+        "run", F.col("x").alias("g"), F.col("e.lead").alias("lead"), F.concat("e.members", "l.members").alias("members"), F.col("cost").alias("made"), F.col("e.first").alias("first"), F.col("l.last").alias("last"), (F.col("u.n") + F.col("v.n")).alias("n"),
         F.slice(F.concat("e.head", "l.head"), 1, ENDS).alias("head"), F.slice(every_tail, F.greatest(F.lit(1), F.size(every_tail) - ENDS + 1), F.lit(ENDS)).alias("tail"),
     )
+    inside = dets.join(j.select("run", "g", F.explode("members").alias("tracklet")), ["run", "tracklet"])
+    medians = inside.groupBy("run", "g").agg(F.median("size").alias("size"), F.median(F.when(F.col("extent") > 0, F.col("extent"))).alias("extent"))
     return j.join(medians, ["run", "g"]).select(live.columns)
 
 
-def link_groups(dets: DataFrame, fps: float = 30.0, max_gap: int = STITCH_GAP, most: float = STITCH_COST) -> tuple[DataFrame, DataFrame]:
-    """The owner (run, tracklet, g) of every tracklet and the groups' rows; dets: run, frame, det, tracklet, x, y, size, extent, places and extents may be null."""
+def link_groups(dets: DataFrame, fps: float = 30.0, max_gap: int = STITCH_GAP, most: float = STITCH_COST) -> DataFrame:
+    """The groups' rows, with their members; dets: run, frame, det, tracklet, x, y, size, extent, places and extents may be null."""
     scratch = Scratch(dets.sparkSession, "stitch")
     live = scratch.save(groups_of(dets))
-    owner = scratch.save(live.select("run", F.col("g").alias("tracklet"), "g"))
     pairs = scratch.save(_costs(live, live, fps, max_gap, most))
     while True:
         merges = scratch.save(_mutual(pairs))
         if merges.isEmpty():
-            return owner, live
-        moved = merges.select("run", F.col("y").alias("g"), F.col("x").alias("_to"))
-        new_owner = scratch.save(owner.join(moved, ["run", "g"], "left").select("run", "tracklet", F.coalesce("_to", "g").alias("g")))
-        made = merges.select("run", F.col("x").alias("g"))
-        inside = dets.join(new_owner.join(made, ["run", "g"]), ["run", "tracklet"])
-        medians = inside.groupBy("run", "g").agg(F.median("size").alias("size"), F.median(F.when(F.col("extent") > 0, F.col("extent"))).alias("extent"))
-        fresh = scratch.save(_joined(merges, live, medians))
+            return live
+        fresh = scratch.save(_joined(merges, live, dets))
         touched = merges.select("run", F.explode(F.array("x", "y")).alias("g"))
         rest = live.join(touched, ["run", "g"], "left_anti")
         new_live = scratch.save(rest.unionByName(fresh))
@@ -142,9 +161,9 @@ def link_groups(dets: DataFrame, fps: float = 30.0, max_gap: int = STITCH_GAP, m
             kept = kept.join(touched.withColumnRenamed("g", c), ["run", c], "left_anti")
         found = _costs(fresh, new_live, fps, max_gap, most).unionByName(_costs(rest, fresh, fps, max_gap, most))
         new_pairs = scratch.save(kept.select("run", "x", "y", "cost").unionByName(found))
-        for old in (merges, fresh, owner, live, pairs):
+        for old in (merges, fresh, live, pairs):
             scratch.drop(old)
-        owner, live, pairs = new_owner, new_live, new_pairs
+        live, pairs = new_live, new_pairs
 
 
 def stitch(dets: DataFrame, fps: float = 30.0, max_gap: int = STITCH_GAP, most: float = STITCH_COST, least: int = LEAST_LENGTH) -> DataFrame:
@@ -155,10 +174,10 @@ def stitch(dets: DataFrame, fps: float = 30.0, max_gap: int = STITCH_GAP, most:
     """
     scratch = Scratch(dets.sparkSession, "stitch")
     kept = scratch.save(dets.where("tracklet IS NOT NULL").select("run", "frame", "det", "tracklet", "x", "y", F.col("size").cast("double").alias("size"), F.col("extent").cast("double").alias("extent")))
-    owner, groups = link_groups(kept, fps, max_gap, most)
+    groups = link_groups(kept, fps, max_gap, most)
     number = F.row_number().over(Window.partitionBy("run").orderBy("first", "lead")) - 1
-    tracks = groups.where(F.col("n") >= least).select("run", "g", number.cast("long").alias("track"))
-    of = owner.join(tracks, ["run", "g"]).select("run", "tracklet", "track")
+    tracks = groups.where(F.col("n") >= least).select("run", "members", number.cast("long").alias("track"))
+    of = tracks.select("run", "track", F.explode("members").alias("tracklet"))
     return dets.select("run", "frame", "det", "tracklet").join(of, ["run", "tracklet"], "left").select("run", "frame", "det", "track")
 
 
