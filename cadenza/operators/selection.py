@@ -36,8 +36,9 @@ def nearest_k(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
     """
     u = left.select(*keys, F.col(a).alias("_t"), F.lit(1).alias("_left")).unionByName(right.select(*keys, F.col(b).alias("_t"), F.lit(0).alias("_left")))
     w = Window.partitionBy(*keys).orderBy("_t", "_left")
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_left"))  # a frame to the end is built anew at every row
     there = F.when(F.col("_left") == 0, F.col("_t"))
-    near = u.withColumn("_b", F.last(there, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(there, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    near = u.withColumn("_b", F.last(there, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.last(there, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     both = near.where("_left = 1").select(*keys, F.col("_t").alias("a"), F.explode(F.array_distinct(F.array("_b", "_n"))).alias("b")).where("b IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("gap", "a", "b"))
     return both.withColumn("gap", F.abs(F.col("a") - F.col("b"))).withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", "a", "b", "gap")

@@ -15,6 +15,11 @@ def _by(keys: list[str], order: str | list[str]):
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
 
 
+def _back(keys: list[str], order: str):
+    """The rows from the last one. What follows a row is a frame from the start here, which Spark keeps as it goes; a frame to the end it builds anew at every row."""
+    return Window.partitionBy(*keys).orderBy(F.desc(order))
+
+
 def moving_mean(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str, by_range: bool = False) -> DataFrame:
     """Centred mean over width // 2 rows to both sides, nulls skipped; with by_range over so many steps of the order column.
 
@@ -44,7 +49,7 @@ def interpolate(df: DataFrame, keys: list[str], order: str, value: str, out: str
     w = _by(keys, order)
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
     df = df.withColumn("_lo", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_hi", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_hi", F.last(at, ignorenulls=True).over(_back(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
     n = F.count(value).over(Window.partitionBy(*keys))
     part = (F.col(order) - F.col("_lo.o")) / F.nullif(F.col("_hi.o") - F.col("_lo.o"), F.lit(0))
     line = F.coalesce(F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * part, F.col("_lo.v"), F.col("_hi.v"))
@@ -106,7 +111,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, value
     at = F.when(F.col("_rt").isNotNull(), F.struct("_rt", "_rv"))
     # Range frames, so that rows of the same time see each other; of equal right times the smallest value counts.
     before = F.max(F.when(F.col("_rt").isNotNull(), F.struct("_rt", (-F.col("_rv")).alias("n")))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(at).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.min(at).over(_back(keys, time).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     both = both.withColumn("_b", before).withColumn("_a", after).where("_left")
     early = (F.col("_a").isNull()) | (F.col(time) - F.col("_b._rt") <= F.col("_a._rt") - F.col(time))
     both = both.withColumn(f"{out}_t", F.when(F.col("_b").isNotNull() & early, F.col("_b._rt")).otherwise(F.col("_a._rt")))
@@ -126,7 +131,7 @@ def resample(source: DataFrame, times: DataFrame, keys: list[str], time: str, va
     s = s.withColumn("_pt", F.lag("_st").over(w)).withColumn("_pv", F.lag("_sv").over(w)).withColumn("_nt", F.lead("_st").over(w)).withColumn("_nv", F.lead("_sv").over(w))
     marks = s.select(*keys, F.col("_st").alias(time), F.struct("_st", "_sv", "_pt", "_pv", "_nt", "_nv").alias("_m"))
     both = times.withColumn("_own", F.lit(True)).unionByName(marks.withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    up = F.min("_m").over(_by(keys, time).rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    up = F.min("_m").over(_back(keys, time).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     both = both.withColumn("_u", up).where("_own")
     first = F.col("_u._pt").isNull()
     lo_t, lo_v = F.when(first, F.col("_u._st")).otherwise(F.col("_u._pt")), F.when(first, F.col("_u._sv")).otherwise(F.col("_u._pv"))
