@@ -6,7 +6,9 @@ run: runs are the unit of parallelism, and a run's state is its live tracks.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,27 +150,50 @@ class Tracker:
         centre = xy[[11, 12]][hips].mean(0) if hips.any() else (xy[ok].mean(0) if ok.any() else np.full(2, np.nan))
         return centre, max(1.0, size)
 
-    def cost(self, track: dict, pose: np.ndarray, centre: np.ndarray, size: float, frame: int) -> float:
-        gap = frame - track["frame"]
-        centres, frames = np.array(track["centres"]), np.array(track["frames"])
-        speed = np.median(np.diff(centres, axis=0) / np.diff(frames)[:, None], axis=0) if len(frames) > 1 else np.zeros(2)
-        usual = float(np.median(track["sizes"]))
-        d = float(np.hypot(*(centre - centres[-1] - speed * gap))) / usual
+    @staticmethod
+    def recall(track: dict) -> dict:
+        """What a track's last places say, kept until its next body: its last pose and place, its speed and its usual size."""
+        if track.get("of") != track["frame"]:
+            centres, frames = np.array(track["centres"]), np.array(track["frames"])
+            speed = np.median(np.diff(centres, axis=0) / np.diff(frames)[:, None], axis=0) if len(frames) > 1 else np.zeros(2)
+            track |= {"of": track["frame"], "last": np.array(track["pose"]), "centre": centres[-1], "speed": speed, "usual": float(np.median(track["sizes"]))}
+        return track
+
+    def costs(self, poses: list[np.ndarray], seen_: list[tuple[np.ndarray, float]], frame: int) -> np.ndarray:
+        """The cost of every body for every track. Distances are taken at once; the rest only of pairs near enough."""
+        out = np.full((len(poses), len(self.tracks)), math.inf)
+        if not out.size:
+            return out
+        known = [self.recall(t) for t in self.tracks]
+        gap = frame - np.array([t["frame"] for t in known])
+        moved = np.stack([t["speed"] for t in known]) * gap[:, None]
+        off = np.stack([m[0] for m in seen_])[:, None] - np.stack([t["centre"] for t in known])[None] - moved[None]
+        far = np.hypot(off[..., 0], off[..., 1]) / np.array([t["usual"] for t in known])[None]
+        with np.errstate(invalid="ignore"):
+            near = far <= np.minimum(MAX_COST, 0.8 + 0.1 * (gap - 1))[None]
+        for k, i in zip(*np.nonzero(near), strict=True):
+            out[k, i] = self.cost(known[i], poses[k], *seen_[k], int(gap[i]), float(far[k, i]))
+        return out
+
+    @staticmethod
+    def cost(track: dict, pose: np.ndarray, centre: np.ndarray, size: float, gap: int, d: float) -> float:
+        usual, last = track["usual"], track["last"]
         ratio = abs(math.log(size / usual))
-        if not d <= min(MAX_COST, 0.8 + 0.1 * (gap - 1)) or ratio > math.log(2.5):
+        if ratio > math.log(2.5):
             return math.inf
-        last = np.array(track["pose"])
         shared = (pose[:, 2] >= 0.3) & (last[:, 2] >= 0.3) & np.isfinite(pose[:, 0]) & np.isfinite(last[:, 0])
         if shared.sum() < 3:
             return math.inf
-        moved = (pose[shared, :2] - centre) - (last[shared, :2] - centres[-1])
+        moved = (pose[shared, :2] - centre) - (last[shared, :2] - track["centre"])
         return d + 0.15 * float(np.hypot(moved[:, 0], moved[:, 1]).mean()) / usual + 0.5 * ratio + 0.03 * (gap - 1)
 
     def step(self, frame: int, poses: list[np.ndarray]) -> list[int]:
         self.tracks = [t for t in self.tracks if frame - t["frame"] <= MAX_GAP]
         seen_ = [self.measure(p) for p in poses]
-        matrix = np.array([[self.cost(t, p, *m, frame) for t in self.tracks] for p, m in zip(poses, seen_, strict=True)]).reshape(len(poses), len(self.tracks))
-        chosen = dict(assign(matrix))
+        matrix = self.costs(poses, seen_, frame)
+        # Bodies and tracks that no pair is possible with take no part in the assignment.
+        rows, columns = (np.flatnonzero(np.isfinite(matrix).any(axis)) for axis in (1, 0))
+        chosen = {int(rows[r]): int(columns[c]) for r, c in assign(matrix[np.ix_(rows, columns)])}
         ids = []
         for k, (pose, (centre, size)) in enumerate(zip(poses, seen_, strict=True)):
             if k in chosen:
@@ -191,73 +216,223 @@ def bodies(pose: DataFrame) -> DataFrame:
     return p.select("run", "frame", "det", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: F.coalesce(F.try_element_at("m", j), nan))).alias("joints"))
 
 
+def _joints(batch: pa.RecordBatch) -> np.ndarray:
+    """The batch's joints as bodies x 17 x 3, nulls as NaN."""
+    return np.asarray(batch.column("joints").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, 17, 3)
+
+
 def track(detections: DataFrame) -> DataFrame:
-    """run, frame, det, tracklet: the online tracker over each run's frames in order. detections: as ``bodies``."""
+    """run, frame, det, tracklet: the online tracker over each run's frames in order. detections: as ``bodies``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, out = Tracker(), []
-        for frame, g in pdf.sort_values(["frame", "det"]).groupby("frame", sort=True):
-            poses = [np.asarray(j, float).reshape(17, 3) for j in g.joints]
-            out += zip(g.run, g.frame, g.det, t.step(int(frame), poses), strict=True)
-        return pd.DataFrame(out, columns=["run", "frame", "det", "tracklet"])
-
-    return detections.groupBy("run").applyInPandas(run, "run long, frame long, det long, tracklet long")
-
-
-def _link(a: dict, b: dict, fps: float) -> float:
-    """Cost of joining two tracklets: how far apart they are beyond what the pause allows, their sizes' ratio, and the pause."""
-    if set(a["frame"]) & set(b["frame"]) or max(a["frame"][0], b["frame"][0]) <= min(a["frame"][-1], b["frame"][-1]):
-        return math.inf
-    first, second = (a, b) if a["frame"][0] < b["frame"][0] else (b, a)
-    gap = np.abs(second["frame"][:, None] - first["frame"][None])
-    i, j = np.unravel_index(np.argsort(gap, axis=None, kind="stable")[:NEIGHBOURS], gap.shape)
-    gaps = gap[i, j]
-    if gaps.min() > STITCH_GAP:
-        return math.inf
-    size = np.minimum(second["size"][i], first["size"][j])
-    d = np.hypot(*(second["centre"][i] - first["centre"][j]).T) / size
-    excess = np.nanmedian(np.maximum(0, d - (0.5 + gaps / fps))) if np.isfinite(d).any() else math.inf
-    return float(excess + abs(math.log(np.median(second["size"][i] / first["size"][j]))) + 0.1 * np.median(gaps) / fps)
+    Runs are dealt over tasks, and a task reads its runs' bodies in order: it holds
+    a frame and the live tracks, not a run.
+    """
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, of = Tracker(), None
+        kept: list[tuple] = []  # bodies of the frame that is being read
+
+        def frame_done() -> list[tuple]:
+            ids = t.step(kept[0][1], [b[3] for b in kept]) if kept else []
+            out = [(*b[:3], i) for b, i in zip(kept, ids, strict=True)]
+            kept.clear()
+            return out
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["run", "frame", "det", "tracklet"])
+
+        for batch in batches:
+            rows = []
+            for run, frame, det, pose in zip(*(batch.column(c).to_pylist() for c in ("run", "frame", "det")), _joints(batch), strict=True):
+                if kept and kept[0][:2] != (run, frame):
+                    rows += frame_done()
+                if run != of:
+                    t, of = Tracker(), run
+                kept.append((run, frame, det, pose))
+            yield packed(rows)
+        yield packed(frame_done())
+
+    cols = [F.col(c).cast("long").alias(c) for c in ("run", "frame", "det")]
+    ordered = detections.select(*cols, "joints").repartition("run").sortWithinPartitions("run", "frame", "det")
+    return ordered.mapInArrow(follow, "run long, frame long, det long, tracklet long")
+
+
+class _Ends:
+    """Groups of one run's bodies by what links look at: each one's first and last ``NEIGHBOURS`` bodies, in order. Of all pairs of bodies of two groups the nearest in time are among these."""
+
+    def __init__(self, most: int):
+        self.first, self.last, self.n, self.label = (np.zeros(most, np.int64) for _ in range(4))
+        # frame, x, y, size by place; absent places are after the head's and before the tail's.
+        self.head, self.tail = np.full((most, NEIGHBOURS, 4), np.nan), np.full((most, NEIGHBOURS, 4), np.nan)
+        self.head[..., 0], self.tail[..., 0] = np.inf, -np.inf
+        self.box = np.full((most, 2, 6), np.nan)  # of head and tail: least and most x and y, largest size, frame farthest inside
+
+    def put(self, g: int, label: int, n: int, head: np.ndarray, tail: np.ndarray) -> None:
+        self.label[g], self.n[g], self.first[g], self.last[g] = label, n, head[0, 0], tail[-1, 0]
+        self.head[g, : len(head)], self.tail[g, NEIGHBOURS - len(tail) :] = head, tail
+        for k, (end, inside) in enumerate(((head, head[-1, 0]), (tail, tail[0, 0]))):
+            at = end[np.isfinite(end[:, 1])]
+            if len(at):
+                self.box[g, k] = [at[:, 1].min(), at[:, 1].max(), at[:, 2].min(), at[:, 2].max(), at[:, 3].max(), inside]
+
+    def merged(self, g: int, early: int, late: int) -> None:
+        def own(end: np.ndarray) -> np.ndarray:
+            return end[np.isfinite(end[:, 0])]
+
+        head = np.concatenate([own(self.head[early]), own(self.head[late])])[:NEIGHBOURS]
+        tail = np.concatenate([own(self.tail[early]), own(self.tail[late])])[-NEIGHBOURS:]
+        self.put(g, int(min(self.label[early], self.label[late])), int(self.n[early] + self.n[late]), head, tail)
+
+    def near(self, early: np.ndarray, late: np.ndarray, fps: float) -> np.ndarray:
+        """Which pairs may cost STITCH_COST at most: no two of their bodies are nearer than the boxes of the ends, nor is a pause longer than from end to end."""
+        a, b = self.box[early, 1], self.box[late, 0]
+        dx = np.maximum(0, np.maximum(a[:, 0] - b[:, 1], b[:, 0] - a[:, 1]))
+        dy = np.maximum(0, np.maximum(a[:, 2] - b[:, 3], b[:, 2] - a[:, 3]))
+        reach = np.minimum(a[:, 4], b[:, 4]) * (STITCH_COST + 0.5 + (b[:, 5] - a[:, 5]) / fps)
+        return np.maximum(dx, dy) <= reach * (1 + 1e-9)
+
+    def costs(self, early: np.ndarray, late: np.ndarray, fps: float) -> np.ndarray:
+        """Cost of joining groups of which one ends before the other begins: how far apart they are beyond what the pause allows, their sizes' ratio, and the pause. Over STITCH_COST it is infinite."""
+        out = np.full(len(early), np.inf)
+        kept = np.flatnonzero((self.first[late] - self.last[early] <= STITCH_GAP) & self.near(early, late, fps))
+        if not len(kept):
+            return out
+        a, b = self.tail[early[kept]], self.head[late[kept]]
+        gap = (b[:, :, None, 0] - a[:, None, :, 0]).reshape(len(kept), -1)
+        at = np.argsort(gap, axis=1, kind="stable")[:, :NEIGHBOURS]
+        gaps = np.take_along_axis(gap, at, 1)
+        gaps[np.isinf(gaps)] = np.nan
+        row = np.arange(len(kept))[:, None]
+        p, q = b[row, at // NEIGHBOURS], a[row, at % NEIGHBOURS]
+        d = np.hypot(p[..., 1] - q[..., 1], p[..., 2] - q[..., 2]) / np.minimum(p[..., 3], q[..., 3])
+        excess = _medians(np.maximum(0, d - (0.5 + gaps / fps)))
+        pause = 0.1 * _medians(gaps) / fps
+        ratio = _medians(p[..., 3] / q[..., 3])
+        for k in np.flatnonzero(excess + pause <= STITCH_COST * (1 + 1e-9)):
+            cost = float(excess[k] + abs(math.log(ratio[k])) + pause[k])
+            if cost <= STITCH_COST:
+                out[kept[k]] = cost
+        return out
+
+
+def _medians(values: np.ndarray) -> np.ndarray:
+    """Each row's median without its NaN, NaN if it has nothing else."""
+    s, n = np.sort(values, axis=1), (~np.isnan(values)).sum(1)
+    row = np.arange(len(s))
+    return np.where(n > 0, (s[row, np.maximum(n - 1, 0) // 2] + s[row, np.minimum(n // 2, s.shape[1] - 1)]) / 2, np.nan)
+
+
+def _greedy(tracklet: np.ndarray, frame: np.ndarray, measured: np.ndarray, fps: float, block: int = 500) -> tuple[np.ndarray, _Ends, np.ndarray]:
+    """The group of each body (rows in order of frame) when the cheapest pair of all is joined first; the groups; which of them are left.
+
+    A pair is costed once, when the later of its groups is made, and only if its
+    pause allows it. A group keeps its pairs with earlier ones while it lives, so
+    there are some tens a tracklet, not all pairs.
+    """
+    order = np.argsort(tracklet, kind="stable")
+    labels, begins = np.unique(tracklet[order], return_index=True)
+    parts = np.split(order, begins[1:])
+    n = len(labels)
+    ends = _Ends(2 * n)
+    rows = np.column_stack([frame.astype(float), measured])
+    by_first = sorted(range(n), key=lambda k: (frame[parts[k][0]], labels[k]))
+    of = np.zeros(len(tracklet), np.int64)
+    for g, k in enumerate(by_first):
+        of[parts[k]] = g
+        ends.put(g, int(labels[k]), len(parts[k]), rows[parts[k][:NEIGHBOURS]], rows[parts[k][-NEIGHBOURS:]])
+    lo, hi = (np.searchsorted(ends.first[:n], ends.last[:n] + x, "right") for x in (0, STITCH_GAP))
+    found = []
+    for i in range(0, n, block):
+        size = (hi - lo)[i : i + block]
+        early = np.repeat(np.arange(i, min(n, i + block)), size)
+        late = np.arange(len(early)) - np.repeat(np.cumsum(size) - size, size) + lo[early]
+        c = ends.costs(early, late, fps)
+        kept = np.isfinite(c)
+        found.append((c[kept], early[kept], late[kept]))
+    cost, early, late = (np.concatenate([f[k] for f in found]) for k in range(3))
+    pair = np.sort(np.stack([ends.label[early], ends.label[late]]), axis=0)
+    first = np.lexsort((pair[1], pair[0], cost))
+    cost, early, late, pair = cost[first], early[first], late[first], pair[:, first]
+    alive, parent = np.zeros(2 * n, bool), np.arange(2 * n)
+    alive[:n] = True
+    starts: dict[int, list[int]] = defaultdict(list)
+    stops: dict[int, list[int]] = defaultdict(list)
+    for g in range(n):
+        starts[int(ends.first[g])].append(g)
+        stops[int(ends.last[g])].append(g)
+    heap: list[tuple] = []
+    own: dict[int, list[tuple]] = {}  # a made group's pairs with groups before it, the cheapest last
+    at, made = 0, n
+
+    def offer(g: int) -> None:
+        pairs = own.get(g, [])
+        while pairs and not alive[pairs[-1][3]]:
+            pairs.pop()
+        if pairs:
+            heapq.heappush(heap, (*pairs.pop(), g))
+
+    while True:
+        while at < len(cost) and not (alive[early[at]] and alive[late[at]]):
+            at += 1
+        while heap and not (alive[heap[0][3]] and alive[heap[0][4]]):
+            *_, g = heapq.heappop(heap)
+            if alive[g]:
+                offer(g)
+        if at < len(cost) and (not heap or (cost[at], pair[0, at], pair[1, at]) < heap[0][:3]):
+            x, y = int(early[at]), int(late[at])
+        elif heap:
+            x, y = heap[0][3:]
+        else:
+            break
+        if ends.first[x] > ends.first[y]:
+            x, y = y, x
+        g, made = made, made + 1
+        ends.merged(g, x, y)
+        for o in (x, y):
+            alive[o], parent[o] = False, g
+            own.pop(o, None)
+            starts[int(ends.first[o])].remove(o)
+            stops[int(ends.last[o])].remove(o)
+        alive[g] = True
+        a, b = int(ends.first[g]), int(ends.last[g])
+        before = np.array([o for f in range(a - STITCH_GAP, a) for o in stops.get(f, ())], np.int64)
+        after = np.array([o for f in range(b + 1, b + STITCH_GAP + 1) for o in starts.get(f, ())], np.int64)
+        starts[a].append(g)
+        stops[b].append(g)
+        others, me = np.concatenate([before, after]), np.full(len(before) + len(after), g)
+        c = ends.costs(np.concatenate([before, me[len(before) :]]), np.concatenate([me[: len(before)], after]), fps)
+        label = int(ends.label[g])
+        own[g] = sorted(((float(c[k]), min(label, int(ends.label[others[k]])), max(label, int(ends.label[others[k]])), int(others[k])) for k in np.flatnonzero(np.isfinite(c))), reverse=True)
+        offer(g)
+    for g in range(made - 1, -1, -1):
+        parent[g] = parent[parent[g]]
+    return parent[of], ends, np.flatnonzero(alive)
 
 
 def stitch(tracked: DataFrame, detections: DataFrame, fps: float = 30.0, least: int = LEAST_LENGTH) -> DataFrame:
     """run, frame, det, track: tracklets joined across pauses, the cheapest pair first; groups of fewer than ``least`` bodies are null.
 
-    Groups are numbered by first frame, then first tracklet.
+    Groups are numbered by first frame, then first tracklet. Bodies are measured
+    wherever they are; a run's task has a row of seven numbers a body.
     """
-    joined = tracked.join(detections, ["run", "frame", "det"])
+    joined = tracked.join(detections, ["run", "frame", "det"]).select("run", "frame", "det", "tracklet", "joints")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = [Tracker.measure(p) for p in _joints(batch)]
+            new = [pa.array([v[0][0] for v in m], pa.float64()), pa.array([v[0][1] for v in m], pa.float64()), pa.array([v[1] for v in m], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], ["run", "frame", "det", "tracklet", "x", "y", "size"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "det"]).reset_index(drop=True)
-        measured = [Tracker.measure(np.asarray(j, float).reshape(17, 3)) for j in pdf.joints]
-        centre, size = np.array([m[0] for m in measured]), np.array([m[1] for m in measured])
-        rows = {int(k): g.index.to_numpy() for k, g in pdf.groupby("tracklet")}
-
-        def group(members: list[int]) -> dict:
-            at = np.sort(np.concatenate([rows[m] for m in members]))
-            return {"members": sorted(members), "rows": at, "frame": pdf.frame.to_numpy()[at], "centre": centre[at], "size": size[at]}
-
-        live = {k: group([k]) for k in rows}
-        costs = {}
-        for a in live:
-            for b in live:
-                if a < b and (c := _link(live[a], live[b], fps)) <= STITCH_COST:
-                    costs[a, b] = c
-        while costs:
-            (a, b), _ = min(costs.items(), key=lambda x: (x[1], x[0]))
-            live[a] = group(live[a]["members"] + live[b]["members"])
-            del live[b]
-            costs = {k: v for k, v in costs.items() if not {a, b} & set(k)}
-            for o in live:
-                if o != a and (c := _link(live[a], live[o], fps)) <= STITCH_COST:
-                    costs[min(a, o), max(a, o)] = c
-        ids = np.full(len(pdf), -1)
-        kept = sorted((g for g in live.values() if len(g["rows"]) >= least), key=lambda g: (g["frame"][0], g["members"][0]))
-        for n, g in enumerate(kept):
-            ids[g["rows"]] = n
-        return pdf[["run", "frame", "det"]].assign(track=ids)
-
-    out = joined.groupBy("run").applyInPandas(run, "run long, frame long, det long, track long")
+        of, groups, left = _greedy(pdf.tracklet.to_numpy(), pdf.frame.to_numpy(), pdf[["x", "y", "size"]].to_numpy(float), fps)
+        kept = sorted((g for g in left if groups.n[g] >= least), key=lambda g: (groups.first[g], groups.label[g]))
+        number = np.full(len(groups.n), -1)
+        number[kept] = np.arange(len(kept))
+        return pdf[["run", "frame", "det"]].assign(track=number[of])
+
+    kind = "run long, frame long, det long, tracklet long, x double, y double, size double"
+    out = joined.mapInArrow(measure, kind).groupBy("run").applyInPandas(run, "run long, frame long, det long, track long")
     return out.withColumn("track", F.when(F.col("track") >= 0, F.col("track")))
 
 
