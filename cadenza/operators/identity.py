@@ -120,8 +120,21 @@ def fit(rows: DataFrame, features: list[str], label: str) -> dict:
     """Class-weighted logistic regression with a ridge of one half the squared weights, on standardised features, the intercept free.
 
     Newton steps on sums that each are one aggregate over the rows, so only
-    a matrix of the features' number squared comes to the driver.
+    a matrix of the features' number squared comes to the driver. The rows are
+    written once, as what makes them may be joins that no step should repeat.
     """
+    from cadenza.plans.scratch import Scratch
+
+    scratch = Scratch(rows.sparkSession, "fit")
+    rows = scratch.save(rows.select(*features, label))
+    try:
+        return _newton(rows, features, label)
+    finally:
+        scratch.drop(rows)
+
+
+def _newton(rows: DataFrame, features: list[str], label: str) -> dict:
+    """The fit on rows that are cheap to read again."""
     stats = rows.agg(F.count("*").alias("n"), F.sum(label).alias("pos"), *[g(f).alias(f"{p}_{f}") for f in features for p, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
     n, pos = stats["n"], stats["pos"] or 0
     if not pos or pos == n:
