@@ -14,6 +14,8 @@ median size, the order may matter; in the tests one random run of 25 differs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,15 +146,30 @@ def _joined(merges: DataFrame, live: DataFrame, dets: DataFrame) -> DataFrame:
 
 
 def link_groups(dets: DataFrame, fps: float = 30.0, max_gap: int = STITCH_GAP, most: float = STITCH_COST) -> DataFrame:
-    """The groups' rows, with their members; dets: run, frame, det, tracklet, x, y, size, extent, places and extents may be null."""
+    """The groups' rows, with their members; dets: run, frame, det, tracklet, x, y, size, extent, places and extents may be null.
+
+    A run without pairs is settled. Whenever half of the runs are, they are put
+    aside, so that all rounds together go over few times the rows of the first.
+    """
     scratch = Scratch(dets.sparkSession, "stitch")
     live = scratch.save(groups_of(dets))
     pairs = scratch.save(_costs(live, live, fps, max_gap, most))
+    settled: list[DataFrame] = []
+    at_work, of = None, dets
     while True:
+        runs = pairs.select("run").distinct()
+        n = runs.count()
+        if not n:
+            return reduce(DataFrame.unionByName, [*settled, live])
+        if at_work is not None and 2 * n <= at_work:
+            settled.append(scratch.save(live.join(runs, "run", "left_anti")))
+            fewer, left = scratch.save(live.join(runs, "run", "left_semi")), scratch.save(of.join(runs, "run", "left_semi"))
+            scratch.drop(live)
+            scratch.drop(of)
+            live, of = fewer, left
+        at_work = n if at_work is None or 2 * n <= at_work else at_work
         merges = scratch.save(_mutual(pairs))
-        if merges.isEmpty():
-            return live
-        fresh = scratch.save(_joined(merges, live, dets))
+        fresh = scratch.save(_joined(merges, live, of))
         touched = merges.select("run", F.explode(F.array("x", "y")).alias("g"))
         rest = live.join(touched, ["run", "g"], "left_anti")
         new_live = scratch.save(rest.unionByName(fresh))
