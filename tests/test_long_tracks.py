@@ -8,6 +8,7 @@ from cadenza.plans import motion_queries
 
 NAMES = [
     "deviation_csv_rows",
+    "worst_moments",
 ]
 
 
