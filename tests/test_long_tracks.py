@@ -9,6 +9,7 @@ from cadenza.plans import motion_queries
 NAMES = [
     "deviation_csv_rows",
     "worst_moments",
+    "coaching_summary",
 ]
 
 
