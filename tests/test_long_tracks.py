@@ -10,6 +10,7 @@ NAMES = [
     "deviation_csv_rows",
     "worst_moments",
     "coaching_summary",
+    "deviation_joint",
 ]
 
 
