@@ -11,6 +11,7 @@ NAMES = [
     "worst_moments",
     "coaching_summary",
     "deviation_joint",
+    "limb_angle_deviation",
 ]
 
 
