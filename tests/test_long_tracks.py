@@ -12,6 +12,7 @@ NAMES = [
     "coaching_summary",
     "deviation_joint",
     "limb_angle_deviation",
+    "dancer_summary",
 ]
 
 
